@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,9 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_exact_topk": lambda s, d: topk.op7(table(s, d, "embeddings")),
         "op9_quality_rules": lambda s, d: quality.op9(table(s, d, "documents")),
+        "op10_simhash": lambda s, d: simhash.op10(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality.OP9_SQL}
+    return {"op7_exact_topk": topk.OP7_SQL, "op9_quality_rules": quality.OP9_SQL}
