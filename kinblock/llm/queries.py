@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, tokenfile, topk
+from . import bpe, packing, quality, simhash, tokenfile, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_token_ids": lambda s, d: tokenfile.op3(table(s, d, "documents")),
         "op5_packing": lambda s, d: packing.op5(table(s, d, "documents")),
+        "op6_bpe": lambda s, d: bpe.op6(table(s, d, "documents")),
         "op7_exact_topk": lambda s, d: topk.op7(table(s, d, "embeddings")),
         "op9_quality_rules": lambda s, d: quality.op9(table(s, d, "documents")),
         "op10_simhash": lambda s, d: simhash.op10(table(s, d, "documents")),
