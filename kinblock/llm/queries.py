@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash, tokenfile, topk
+from . import bpe, packing, quality, simhash, tokenfile, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,11 @@ def queries() -> dict[str, Query]:
         "op5_packing": lambda s, d: packing.op5(table(s, d, "documents")),
         "op6_bpe": lambda s, d: bpe.op6(table(s, d, "documents")),
         "op7_exact_topk": lambda s, d: topk.op7(table(s, d, "embeddings")),
+        "op8_warc": lambda s, d: warc.op8(table(s, d, "pages")),
         "op9_quality_rules": lambda s, d: quality.op9(table(s, d, "documents")),
         "op10_simhash": lambda s, d: simhash.op10(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": topk.OP7_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op7_exact_topk": topk.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
