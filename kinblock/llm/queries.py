@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash, tokenfile, topk, warc
+from . import bpe, licences, packing, quality, simhash, tokenfile, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": lambda s, d: licences.op1(table(s, d, "documents")),
         "op3_token_ids": lambda s, d: tokenfile.op3(table(s, d, "documents")),
         "op5_packing": lambda s, d: packing.op5(table(s, d, "documents")),
         "op6_bpe": lambda s, d: bpe.op6(table(s, d, "documents")),
