@@ -198,44 +198,61 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = M
     return Model(families, languages, weights, np.array([b for _, b in columns] or [0.0]), upper, inner)
 
 
+def judge(model: Model | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    """Language and score of every text."""
+    lang: list[str] = []
+    score: list[float] = []
+    for group in _runs(texts):
+        letter = np.fromiter((bool(LETTER.search(t.decode())) for t in group), bool, len(group))
+        if model is None or not letter.any():
+            lang += [UND] * len(group)
+            score += [0.0] * len(group)
+            continue
+        data = b" ".join(group) + b" "
+        ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+        bucket = trigrams(data, ends)
+        begin = np.concatenate([[0], ends[:-1]])
+        count = np.maximum(np.add.reduceat(bucket < BUCKETS, begin, dtype=np.int64), 1)
+        sums = [np.add.reduceat(model.weights[:, k][bucket], begin, dtype=np.float64) for k in range(model.weights.shape[1])]
+        names, sure = model.predict(np.stack(sums, axis=1) / count[:, None] + model.bias)
+        lang += [n if ok else UND for n, ok in zip(names, letter)]
+        score += np.where(letter, sure, 0.0).tolist()
+    return lang, score
+
+
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = shared.value
         for batch in batches:
-            texts = column_bytes(batch.column(1))
-            lang: list[str] = []
-            score: list[float] = []
-            for group in _runs(texts):
-                letter = np.fromiter((bool(LETTER.search(t.decode())) for t in group), bool, len(group))
-                if model is None or not letter.any():
-                    lang += [UND] * len(group)
-                    score += [0.0] * len(group)
-                    continue
-                data = b" ".join(group) + b" "
-                ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
-                bucket = trigrams(data, ends)
-                begin = np.concatenate([[0], ends[:-1]])
-                count = np.maximum(np.add.reduceat(bucket < BUCKETS, begin, dtype=np.int64), 1)
-                sums = np.stack([np.add.reduceat(model.weights[:, k][bucket], begin, dtype=np.float64) for k in range(model.weights.shape[1])], axis=1)
-                names, sure = model.predict(sums / count[:, None] + model.bias)
-                lang += [n if ok else UND for n, ok in zip(names, letter)]
-                score += np.where(letter, sure, 0.0).tolist()
+            lang, score = judge(shared.value, column_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["key", "lang_pred", "score"])
 
     return run
 
 
+def _kept(shared, at: int, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = judge(shared.value, column_bytes(batch.column(at)))
+            yield batch.filter(pa.array([x != UND and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
+
+    return run
+
+
 def held_out() -> F.Column:
     """Rows that are never learned from."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def _model(source: DataFrame):
+    """The model of the rows of ``source`` that are not held out, sent to the workers: BUCKETS rows by its machines."""
+    model = fit(source.select("doc_id", "text", "lang").where(~held_out()))
+    return source.sparkSession.sparkContext.broadcast(model)
+
+
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``; learned from the rows of
     ``labelled`` (default: ``docs``) that are not held out."""
-    source = docs if labelled is None else labelled
-    model = fit(source.select("doc_id", "text", "lang").where(~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows by the machines
+    shared = _model(docs if labelled is None else labelled)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_predicted(shared), f"key {kind}, lang_pred string, score double")
     return rows.withColumnRenamed("key", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -243,8 +260,8 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` in a learned language with at least ``min_score``, with their own columns."""
-    seen = identify(docs).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("doc_id").distinct()
-    return docs.join(seen, docs.doc_id.eqNullSafe(seen.doc_id), "left_semi")
+    at = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
+    return docs.mapInArrow(_kept(_model(docs), at, min_score), docs.schema)
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licences, packing, quality, simhash, tokenfile, topk, warc
+from . import bpe, langid, licences, packing, quality, secrets, simhash, tokenfile, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_license_scan": lambda s, d: licences.op1(table(s, d, "documents")),
         "op2_language_id": lambda s, d: langid.op2(table(s, d, "documents")),
         "op3_token_ids": lambda s, d: tokenfile.op3(table(s, d, "documents")),
+        "op4_secret_scan": lambda s, d: secrets.op4(table(s, d, "documents")),
         "op5_packing": lambda s, d: packing.op5(table(s, d, "documents")),
         "op6_bpe": lambda s, d: bpe.op6(table(s, d, "documents")),
         "op7_exact_topk": lambda s, d: topk.op7(table(s, d, "embeddings")),

@@ -187,9 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
     return rooted.union(now.select("b", "b").distinct())
 
 
-def classes(docs: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fp and component_id for every row of ``docs``."""
-    prints = staged(fingerprints(docs), "fingerprints")
+def _classed(prints: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes, blocks, radius, tile))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -198,11 +196,19 @@ def classes(docs: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, tile: i
     return prints.join(of_node, "fp").select("doc_id", "fp", "component_id")
 
 
+def classes(docs: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, fp and component_id for every row of ``docs``."""
+    return _classed(staged(fingerprints(docs), "fingerprints"), blocks, radius, tile)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each class the row with the smallest doc_id stays (of repeated
-    rows with that id, one).  A row with a null id stays, as no other row stands for it."""
-    firsts = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` without near copies: of each class the row with the smallest doc_id stays (of rows
+    that share that id, one).  A row with a null id stays, as no id tells it from others."""
+    prints = staged(fingerprints(docs), "fingerprints")
+    firsts = _classed(prints).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi")
+    if not prints.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
