@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -41,3 +42,15 @@ def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """``df``, through whose computed columns no later filter is pushed.
+
+    The optimizer replaces a filter's columns by their definitions to move it
+    down; where those are array expressions over whole texts, they would be
+    computed again in the filter, and per element inside a lambda.  A row
+    number, which is not deterministic, holds the filter above the projection.
+    """
+    marked = df.withColumn("__row", F.monotonically_increasing_id())
+    return marked.where("__row >= 0").drop("__row")

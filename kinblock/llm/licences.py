@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import barrier
+
 WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 THRESHOLD = 0.6
 #: Licence words of a file that are looked up, besides the phrases' own.
@@ -218,7 +220,7 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
     )
     by_method = F.filter(F.transform("__s", lambda s, t: F.when(s > 0, F.get(names, t))), lambda x: x.isNotNull())
     places = F.transform("__b", lambda x: x["at"])
-    return labelled.select(
+    out = labelled.select(
         "doc_id",
         "n_words",
         F.size("__b").cast("long").alias("n_base"),
@@ -228,6 +230,7 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
         F.array_join(F.array_sort(F.array_union("__bl", by_method)), ",").alias("labels"),
         F.when(F.size("__bl") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("__s"), F.lit(0.0))).alias("score"),
     )
+    return barrier(out)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import barrier
+
 WORD_BREAK = "[ \\t-\\r]+"
 HAS_WORD = "[^ \\t-\\r]"
 SYMBOL = "[#*$%&|<>]"
@@ -139,7 +141,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     bits = F.lit(0).cast("long")
     for name, condition in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return barrier(measure(docs).withColumn("fail_bits", bits))
 
 
 def kept(policy: str = DEFAULT_POLICY) -> Column:

@@ -22,6 +22,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import barrier
+
 #: Rows of the default training table.
 LABELLED = 3000
 TREES, DEPTH, SEED = 16, 6, 11
@@ -157,12 +159,15 @@ def _quoted(pattern: str) -> str:
 BLOCK = 256
 
 
-def scanned(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def scanned(docs: DataFrame, findings: DataFrame | None = None, only_found: bool = False) -> DataFrame:
     """``docs`` with ``__m`` (candidates), ``__s`` (the texts between) and ``__f``:
-    array<struct<start, value, score>> in the order of ``__m``."""
+    array<struct<start, value, score>> in the order of ``__m``; ``only_found``: rows with candidates only."""
     trees = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     path = "coalesce(CAST(source AS STRING), '')" if "source" in docs.columns else "''"
-    one = docs.withColumn("__m", F.coalesce(F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")))
+    one = docs.withColumn(
+        "__m", F.coalesce(F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
+    )
+    one = barrier(one).where("size(__m) > 0") if only_found else barrier(one)
     two = one.withColumn("__s", F.when(F.size("__m") > 0, F.split("text", CANDIDATE, -1))).withColumn("__p", F.expr(path))
     prefix = f"regexp_extract(x, {_quoted('^(' + _ASSIGN + ')')}, 1)"
     parts = two.withColumn(
@@ -190,13 +195,13 @@ def scanned(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     sql = ", ".join(f"{x} AS {name}" for name, x in features("y.v", "y.b", "y.a", "__p").items())
     measured = values.withColumn("__x", F.expr(f"transform(__v, y -> struct(y.start AS start, y.v AS v, {sql}))"))
     scored = measured.withColumn("__f", F.expr(f"transform(__x, y -> struct(y.start AS start, y.v AS value, {forest_sql(trees, 'y')} AS score))"))
-    return scored.drop("__p", "__c", "__b", "__v", "__x")
+    return barrier(scored).drop("__p", "__c", "__b", "__v", "__x")
 
 
 def findings_of(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """One row per candidate: doc_id, finding, start, value, score and is_secret."""
     own = [c for c in ("doc_id", "text", "source") if c in docs.columns]
-    rows = scanned(docs.select(*own), findings).select("doc_id", F.posexplode("__f").alias("finding", "f"))
+    rows = scanned(docs.select(*own), findings, only_found=True).select("doc_id", F.posexplode("__f").alias("finding", "f"))
     return rows.select("doc_id", "finding", "f.start", "f.value", "f.score", (F.col("f.score") >= THRESHOLD).alias("is_secret"))
 
 
