@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as str.isspace has it.
 BLANK = "\\s\\x1c-\\x1f\\x85\\p{Z}"
@@ -29,7 +30,7 @@ def _trailing(words: list[str]) -> str:
     return f"(?:(?:^| )(?:{'|'.join(words)}))+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     import unicodedata
 

@@ -20,6 +20,10 @@ _ADDR_21 = (
 _ADDR_25 = _ADDR_21 + ",'pl','india','usa','america'"
 
 
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
 def _basic(c: str) -> str:
     return f"trim(regexp_replace(replace(lower(nfc_normalize(trim({c}))), '&', ' and '), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
 
@@ -239,8 +243,8 @@ def oracle_sql() -> dict[str, str]:
         "cross_keys": _from(plus("flatten(list_transform(nt, lambda x: list_transform(pc, lambda y: {'a': x, 'b': y})))")),
         "pair_key": _from("country || '|' || least(coalesce(nt[1], ''), num) || '|' || greatest(coalesce(nt[1], ''), num)"),
         "char_ngrams": _from(f"CASE WHEN length(cp) >= 3 THEN array_to_string(list_sort({_grams('cp')}), '|') ELSE '' END"),
-        "name_features": f"WITH {signature()} SELECT s.entity_id, trim(business_name) AS raw, nm AS basic, cp AS compact, ns AS no_suffix, nm AS transliterated FROM sig s JOIN ent USING (entity_id)",
-        "address_features": f"""WITH {signature()} SELECT s.entity_id, trim(business_address) AS raw, ad AS basic, replace(ad, ' ', '') AS compact,
+        "name_features": f"WITH {signature()} SELECT s.entity_id, {_strip('business_name')} AS raw, nm AS basic, cp AS compact, ns AS no_suffix, nm AS transliterated FROM sig s JOIN ent USING (entity_id)",
+        "address_features": f"""WITH {signature()} SELECT s.entity_id, {_strip('business_address')} AS raw, ad AS basic, replace(ad, ' ', '') AS compact,
             array_to_string(nums, ' ') AS numbers, CAST(len(nums) AS BIGINT) AS n_numbers FROM n1 s JOIN ent USING (entity_id)""",
         "truth_pairs": f"WITH {TRUTH} SELECT * FROM tp",
     }

@@ -72,6 +72,10 @@ def _pairs_text(c) -> F.Column:
     return F.array_join(F.transform(c, lambda p: F.concat_ws("+", p["a"], p["b"])), "|")
 
 
+def _name() -> F.Column:
+    return F.col("business_name")
+
+
 def _address() -> F.Column:
     return F.col("business_address")
 
@@ -120,7 +124,7 @@ BLOCKS = {
 
 
 def queries() -> dict[str, Query]:
-    basic, name = T.basic, F.col("business_name")
+    basic = T.basic
     selected = lambda a, b, t=None: L.rare_selection(a, b, L.HYBRID_BUDGET, L.HYBRID_DF)[0]
     out: dict[str, Query] = {
         "cand_v4": _both(L.composite),
@@ -136,8 +140,8 @@ def queries() -> dict[str, Query]:
         "numbers": _joined(lambda: T.numbers(_address())),
         "first_number": _names(lambda c: K.first_number(T.numbers(c)), "business_address"),
         "postal_codes": _joined(lambda: K.postal_codes(T.numbers(_address()))),
-        "name_tokens": _joined(lambda: K.name_tokens(basic(name))),
-        "name_tokens_set": _joined(lambda: K.as_set(K.name_tokens(basic(name)))),
+        "name_tokens": _joined(lambda: K.name_tokens(basic(_name()))),
+        "name_tokens_set": _joined(lambda: K.as_set(K.name_tokens(basic(_name())))),
         "address_tokens": _joined(lambda: K.address_tokens(basic(_address()))),
         "first_token": _names(lambda c: K.first_or_empty(K.name_tokens(basic(c)))),
         "prefix5": _names(lambda c: K.prefix(T.compact(basic(c)), 5)),
@@ -149,7 +153,7 @@ def queries() -> dict[str, Query]:
             "entity_id", K.pair_key(F.col("country"), K.first_or_empty(F.col("name_tokens")), F.col("number")).alias("value")
         ),
         "char_ngrams": _from_signature(lambda: F.array_join(F.array_sort(K.char_ngrams(F.col("compact"))), "|")),
-        "name_features": lambda s, d: entities(s, d).select("entity_id", T.name_features(name).alias("f")).select("entity_id", "f.*"),
+        "name_features": lambda s, d: entities(s, d).select("entity_id", T.name_features(_name()).alias("f")).select("entity_id", "f.*"),
         "address_features": lambda s, d: entities(s, d).select("entity_id", T.address_features(_address()).alias("f")).select(
             "entity_id", "f.raw", "f.basic", "f.compact", "f.numbers", F.size("f.address_number_tokens").cast("long").alias("n_numbers")
         ),
