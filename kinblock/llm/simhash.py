@@ -91,6 +91,8 @@ def block_keys(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
 
 def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Links (member, smallest index joined with it) of one tile; ``b``: the other chunk of a tile of two."""
+    if not len(a) or (b is not None and not len(b)):
+        return []
     near = np.bitwise_count(a[:, None] ^ (a if b is None else b)[None, :]) <= radius
     n = len(a)
     if b is None:

@@ -1,0 +1,74 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from kinblock.llm import secrets as S
+
+from .helpers import documents, edge_rows, words
+from .test_quality import brute as measures
+from .test_search_dedup import brute_classes
+
+HEX = "4534254f83b7e27b3670756d7cab6da61ccfcea9"
+
+
+def test_forest_generalises(spark):
+    rows = S.labelled_findings(spark, 4000)
+    half = "pmod(xxhash64(v), 2)"
+    trees = S.train(rows.where(f"{half} = 0"))
+    sql = S.features("v", "b", "a", "path")
+    held = rows.where(f"{half} = 1").selectExpr("label", "struct(" + ", ".join(f"{x} AS {n}" for n, x in sql.items()) + ") AS f")
+    score = held.selectExpr(f"avg(int(({S.forest_sql(trees, 'f')} >= 0.5) = (label = 1))) AS accuracy").first()[0]
+    assert score > 0.97
+
+
+def test_findings(spark):
+    text = f'é token = "{HEX}" and commit {HEX}, card 4534254683872723'
+    rows = edge_rows() + [(50, text), (50, text), (51, "-----BEGIN RSA PRIVATE KEY-----"), (52, f'token = "{HEX}" ' * 600)]
+    got = S.findings_of(documents(spark, rows, clash=True)).collect()
+    one = sorted((r.finding, r.start, r.value, r.is_secret) for r in got if r.doc_id == 50)
+    assert one[::2] == [(0, text.index(HEX), HEX, True), (1, text.rindex(HEX), HEX, False), (2, text.index("4534254683"), "4534254683872723", False)]
+    many = sorted((r.finding, r.start) for r in got if r.doc_id == 52)
+    assert many == [(k, 9 + k * len(f'token = "{HEX}" ')) for k in range(600)]
+    assert [r.is_secret for r in got if r.doc_id == 51] == [True]
+    assert S.op4(documents(spark, [])).count() == 0
+
+
+def test_redact(spark):
+    docs = documents(spark, edge_rows() + [(50, f'a token = "{HEX}" b commit {HEX}'), (51, "clean")], clash=True)
+    out = S.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    before, after = ({(r.doc_id, r.text) for r in d.collect()} for d in (docs, out))
+    assert after - before == {(50, f'a token = "[SECRET]" b commit {HEX}')}
+    assert len(before - after) == 1
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    library = pytest.importorskip("tests.llm.test_tokens").library()
+    rng = random.Random(6)
+    rows = [(d, t) for d, t in edge_rows() if d is not None and d != 3]
+    for k in range(20):
+        base = words(rng, 80)
+        rows += [(100 + 10 * k, base), (101 + 10 * k, base), (102 + 10 * k, f'{words(rng, 40)} token = "{HEX[k:] + HEX[:k]}" {words(rng, 5)}')]
+    rows += [(900, "12 34 " * 3 + " ".join(str(i) for i in range(40))), (901, "& | " * 30 + words(rng, 20))]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    def good(t):
+        n, chars, symbols, _, repeats = measures(t)
+        return n >= 10 and 100 * repeats <= 20 * n and 10 * symbols <= 3 * n and 2 * n <= chars <= 20 * n
+
+    left = [(d, t) for d, t in rows if good(t) and any(c.isalpha() for c in t)]
+    left = [(d, t) for (d, t), (_, _, c) in zip(left, brute_classes(left)) if d == c]
+    assert {901, 900, 0}.isdisjoint(d for d, _ in left) and 100 in dict(left) and 101 not in dict(left)
+    tokens = 0
+    for d, t in left:
+        if 100 <= d < 300 and d % 10 == 2:
+            k = (d - 102) // 10
+            t = t.replace(HEX[k:] + HEX[:k], "[SECRET]")
+        n = len(library(t)) + 1
+        tokens += n
+        own = [r for r in got if r.doc_id == d]
+        assert sum(r.length for r in own) == n and len(own) == -(-n // 1024)
+    assert {r.doc_id for r in got} == {d for d, _ in left}
+    assert sum(r.length for r in got) == tokens
