@@ -15,13 +15,13 @@ predicted one by one.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +46,7 @@ FAMILIES = {
     "celtic": "ga cy br gd",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:0x80] = ord(" ")

@@ -31,7 +31,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges_and_no_labels(spark):
-    rows = corpus(300) + [(1000 + i, t, None) for i, (_, t) in enumerate(edge_rows())] + [(2000, "123 !!", "en")]
+    rows = corpus(300) + [(1000 + i, t, None) for i, (_, t) in enumerate(edge_rows())] + [(2000, "123 !! ½ Ⅷ _", "en")]
     got = L.op2(documents(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r.lang_pred for r in got}
