@@ -45,9 +45,9 @@ def candidate_stats(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("avg", F.round(F.get("q", F.lit(0)), 6).alias("median"), F.round(F.get("q", F.lit(1)), 6).alias("p95"), "max")
 
 
-def evaluation(truth: DataFrame, pairs: DataFrame) -> DataFrame:
-    """recall, totals and candidate statistics over the truth's entities, in one row."""
-    return recall(truth, pairs).join(candidate_stats(truth, pairs))  # one row beside one row
+def evaluation(truth: DataFrame, pairs: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """recall, totals and candidate statistics over ``entities`` (default: the truth's), in one row."""
+    return recall(truth, pairs).join(candidate_stats(truth if entities is None else entities, pairs))  # one row beside one row
 
 
 def f05(true: Column, predicted: Column) -> Column:

@@ -84,6 +84,7 @@ _FAMILY = {
     "postal": "SELECT unnest(pc) AS k1, '' AS k2",
     "name_pair": "SELECT a AS k1, b AS k2 FROM (SELECT unnest(nt) AS a) x, (SELECT unnest(nt) AS b) y WHERE a < b",
     "address_pair": "SELECT a AS k1, b AS k2 FROM (SELECT unnest(atk) AS a) x, (SELECT unnest(atk) AS b) y WHERE a < b",
+    "address_token_pair": "SELECT a AS k1, b AS k2 FROM (SELECT unnest(list_distinct(atk)) AS a) x, (SELECT unnest(list_distinct(atk)) AS b) y WHERE a < b",
     "name_address": "SELECT a AS k1, b AS k2 FROM (SELECT unnest(nt) AS a) x, (SELECT unnest(atk) AS b) y",
     "name_number": "SELECT unnest(nt) AS k1, num AS k2 WHERE num <> ''",
     "name_postal": "SELECT a AS k1, b AS k2 FROM (SELECT unnest(nt) AS a) x, (SELECT unnest(pc) AS b) y",
@@ -157,6 +158,7 @@ FIRST = {
     "exact_name": 500, "name_no_suffix": 500, "translit_name": 500, "translit_no_suffix": 500, "prefix5": 250, "prefix8": 250,
     "translit_prefix6": 250, "name_token": 150, "translit_token": 150, "address_token": 150, "number": 500, "postal": 500,
 }
+REAL_SCALE = dict.fromkeys(["exact_name", "name_no_suffix", "prefix5", "first_token", "number", "postal"], 10**12)
 SELECTIVE = {"exact_name": 500, "name_no_suffix": 500, "prefix5": 50, "name_token": 50, "number": 50, "postal": 100, "address_token": 50}
 COMPOSITE = {
     "exact_name": 500, "name_no_suffix": 500, "translit_name": 500, "translit_no_suffix": 500, "domain_name": 500, "name_postal": 20,
@@ -199,9 +201,9 @@ FROM sz GROUP BY src, family"""
 _SINGLE_OPTIONS = {"sets": False}
 
 
-def _scored(tail: str) -> str:
-    return f"""WITH {signature()}, {TRUTH}, {_keys(COMPOSITE)}, {_join(COMPOSITE)},
-ap AS (SELECT DISTINCT s1, candidate FROM pr),
+def _metrics(tail: str) -> str:
+    """Recall, statistics and F0.5 of the CTE ``pr`` against the truth, then ``tail``."""
+    return f"""ap AS (SELECT DISTINCT s1, candidate FROM pr),
 cnt AS (SELECT tr.s1, count(ap.candidate) AS n FROM tr LEFT JOIN ap USING (s1) GROUP BY tr.s1),
 hit AS (SELECT tp.* FROM tp JOIN ap ON tp.s1 = ap.s1 AND tp.target = ap.candidate),
 tot AS (SELECT (SELECT count(*) FROM tp) AS total_true, (SELECT count(*) FROM hit) AS total_found),
@@ -214,6 +216,10 @@ f AS (SELECT s1, round(CASE WHEN t = 0 AND p = 0 THEN 1.0 WHEN t = 0 OR p = 0 OR
 {tail}"""
 
 
+def _scored(tail: str) -> str:
+    return f"WITH {signature()}, {TRUTH}, {_keys(COMPOSITE)}, {_join(COMPOSITE)}, {_metrics(tail)}"
+
+
 def oracle_sql() -> dict[str, str]:
     text = lambda e: f"WITH {ENT} SELECT entity_id, {e} AS value FROM ent"
     joined = lambda e: f"array_to_string({e}, '|')"
@@ -257,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "overlap_ngrams": f"WITH {signature(sets=False, first=True)}, {_overlap('address_ngram', 300)} {_OUT.format('ov')}",
         "cand_v3": f"""WITH {signature(sets=False, first=True)}, {_keys(FIRST)}, {_join(FIRST)}, {_overlap('address_token', 1000, 't')}, {_overlap('address_ngram', 300, 'g')},
             al AS (SELECT * FROM pr UNION SELECT * FROM tov UNION SELECT * FROM gov) {_OUT.format('al')} WHERE s1 <> candidate""",
-        "cand_real_scale": _pairs(dict.fromkeys(["exact_name", "name_no_suffix", "prefix5", "first_token", "number", "postal"], 10**12), form="series", sets=False),
+        "cand_real_scale": _pairs(REAL_SCALE, form="series", sets=False),
         "cand_selective": _pairs(SELECTIVE, sets=False),
         "cand_selective_cap5": _pairs(dict.fromkeys(SELECTIVE, 5), sets=False),
         "cand_adaptive": f"""WITH {signature()}, {_keys(STRONG, True)}, {_join(STRONG)}, {_rare(RARE_V5, 500)},
@@ -281,6 +287,12 @@ def oracle_sql() -> dict[str, str]:
         "positive_coverage": f"""WITH {signature(form="word")}, {TRUTH}, {_keys(SIX, True)},
             sh AS (SELECT DISTINCT a.entity_id AS s1, b.entity_id AS target, family FROM ks a JOIN ks b USING ({_KEY}) WHERE a.src = 0 AND b.src > 0)
             SELECT s1, target, {", ".join(f"EXISTS (SELECT 1 FROM sh WHERE sh.s1 = tp.s1 AND sh.target = tp.target AND family = '{f}') AS {f}" for f in SIX)} FROM tp""",
+        "totals": f"""WITH {ENT}, {TRUTH} SELECT 'S' || CAST(src + 1 AS VARCHAR) AS what, count(*) AS n FROM ent GROUP BY src
+            UNION ALL SELECT 'truth entities', count(*) FROM tr UNION ALL SELECT 'truth pairs', count(*) FROM tp""",
+        "eval_v3": f"""WITH {signature(sets=False, first=True)}, {TRUTH}, {_keys(FIRST, prefix='b')}, {_join(FIRST, 'b')}, {_overlap('address_token', 1000, 't')}, {_overlap('address_ngram', 300, 'g')},
+            pr AS (SELECT * FROM (SELECT * FROM bpr UNION SELECT * FROM tov UNION SELECT * FROM gov) WHERE s1 <> candidate), {_metrics('SELECT * FROM rc, st')}""",
+        "eval_real_scale": f"""WITH {signature(form='series', sets=False)}, {TRUTH}, {_keys(REAL_SCALE)}, {_join(REAL_SCALE)}, {_metrics('SELECT * FROM rc, st')}""",
+        "index_sizes": f"WITH {signature(sets=False, first=True)}, {_keys([*FIRST, 'address_ngram', 'address_token_pair'])} SELECT family, count(*) AS n FROM ks GROUP BY family",
         "recall": _scored("SELECT * FROM rc"),
         "missing_pairs": _scored("SELECT * FROM tp EXCEPT SELECT * FROM hit"),
         "missing_top30": _scored("SELECT * FROM (SELECT * FROM tp EXCEPT SELECT * FROM hit) ORDER BY s1, target LIMIT 30"),

@@ -1,0 +1,17 @@
+"""Steps after candidate generation, declared and not implemented."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def extract_features(pairs: DataFrame) -> DataFrame:
+    raise NotImplementedError("pair features are not part of this engine")
+
+
+def train(features: DataFrame):
+    raise NotImplementedError("training a matcher is not part of this engine")
+
+
+def predict(features: DataFrame) -> DataFrame:
+    raise NotImplementedError("predicting matches is not part of this engine")

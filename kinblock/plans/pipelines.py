@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators import blocking as B
 from ..operators import evaluate as E
 from ..operators import profile as P
 from ..operators.keys import FIRST, LISTS, SERIES, SETS, WORDS, Style, keys, signature
+from ..sources.tsv import validate_columns
 
 #: Inclusive block caps per pipeline (fixed values).
 FIRST_CAPS = {
@@ -21,6 +23,8 @@ FIRST_CAPS = {
     "name_token": 150, "translit_token": 150, "address_token": 150, "number": 500, "postal": 500,
 }
 FIRST_OVERLAP = {"address_token": 1000, "address_ngram": 300}
+#: The pair family is indexed and never probed.
+FIRST_FAMILIES = [*FIRST_CAPS, "address_ngram", "address_token_pair"]
 REAL_SCALE = ["exact_name", "name_no_suffix", "prefix5", "first_token", "number", "postal"]
 SELECTIVE_CAPS = {"exact_name": 500, "name_no_suffix": 500, "prefix5": 50, "name_token": 50, "number": 50, "postal": 100, "address_token": 50}
 COMPOSITE_CAPS = {
@@ -156,7 +160,50 @@ def coverage(truth: DataFrame, s1: DataFrame, others: DataFrame) -> DataFrame:
     return P.positive_coverage(E.truth_pairs(truth), signature(s1, WORDS), signature(others, WORDS), COMPOSITE_PROFILE)
 
 
-def generate_candidate_pairs(s1: DataFrame, s2: DataFrame, s3: DataFrame) -> DataFrame:
+def build_index(records: DataFrame) -> DataFrame:
+    """The long-form key table of the first pipeline's 14 families; ValueError if a column is missing."""
+    return keys(signature(validate_columns(records), FIRST), FIRST_FAMILIES)
+
+
+def generate_candidates(records: DataFrame, index: DataFrame) -> DataFrame:
+    """(source, s1, candidate) of ``records`` against an index with a ``source`` column."""
+    q = keys(signature(records, FIRST), FIRST_FAMILIES)
+    some = lambda df, caps: df.where(F.col("family").isin(list(caps)))
+    pairs = B.block_join(some(q, FIRST_CAPS), some(index, FIRST_CAPS), FIRST_CAPS)
+    more = B.overlap_join(some(q, FIRST_OVERLAP), some(index, FIRST_OVERLAP), FIRST_OVERLAP)
+    return pairs.union(more).distinct().where("s1 <> candidate")
+
+
+def generate_candidate_pairs(s1: DataFrame, index_s2: DataFrame, index_s3: DataFrame) -> DataFrame:
     """(source1_entity_id, candidate_entity_id): distinct per source, all sources one after another."""
-    others = s2.withColumn("source", F.lit("S2")).unionByName(s3.withColumn("source", F.lit("S3")))
-    return first(s1, others).select(F.col("s1").alias("source1_entity_id"), F.col("candidate").alias("candidate_entity_id"))
+    index = index_s2.withColumn("source", F.lit("S2")).unionByName(index_s3.withColumn("source", F.lit("S3")))
+    return generate_candidates(s1, index).select(F.col("s1").alias("source1_entity_id"), F.col("candidate").alias("candidate_entity_id"))
+
+
+def totals(s1: DataFrame, others: DataFrame, truth: DataFrame) -> DataFrame:
+    """Row counts of the inputs: (what, n)."""
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    sources = others.groupBy(F.col("source").alias("what")).agg(F.count("*").alias("n"))
+    return count(s1, "S1").union(sources).union(count(truth, "truth entities")).union(count(E.truth_pairs(truth), "truth pairs"))
+
+
+#: Name -> (s1, others, truth) -> distinct (source, s1, candidate), for runs by name.
+GENERATORS = {
+    "first": lambda a, b, t: first(a, b),
+    "real_scale": lambda a, b, t: real_scale(a, b),
+    "selective": lambda a, b, t: selective(a, b),
+    "composite": lambda a, b, t: composite(a, b),
+    "adaptive": lambda a, b, t: adaptive(a, b),
+    "hybrid": lambda a, b, t: hybrid(a, b, t),
+}
+#: Generators that are evaluated over the rows of source 1; the others over the truth's entities.
+OVER_ROWS = {"first", "selective"}
+
+
+def evaluate(name: str, s1: DataFrame, others: DataFrame, truth: DataFrame) -> DataFrame:
+    """Recall and candidate statistics of one generator, over the entities it is judged on."""
+    pairs = B.all_sources(GENERATORS[name](s1, others, truth))
+    if name not in OVER_ROWS:
+        return E.evaluation(truth, pairs)
+    rows = s1.select(strip(F.col("entity_id")).alias("s1")).distinct()
+    return E.evaluation(truth.join(rows, "s1", "left_semi"), pairs, rows)

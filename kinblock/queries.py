@@ -183,6 +183,10 @@ def queries() -> dict[str, Query]:
         "selected_keys": _both(lambda a, b: selected(a, b).select("source", "s1", "family", "k1", "k2", "df", "rank")),
         "selected_key_stats": _both(lambda a, b: P.selected_counts(selected(a, b))),
         "positive_coverage": lambda s, d: L.coverage(truth(s, d), *sides(s, d)),
+        "totals": _with_truth(L.totals),
+        "eval_v3": _with_truth(lambda a, b, t: L.evaluate("first", a, b, t)),
+        "eval_real_scale": _with_truth(lambda a, b, t: L.evaluate("real_scale", a, b, t)),
+        "index_sizes": lambda s, d: L.build_index(entities(s, d)).groupBy("family").agg(F.count("*").alias("n")),
         "recall": _scored(E.recall),
         "missing_pairs": _scored(E.missing),
         "missing_top30": _scored(lambda t, p: E.missing(t, p, 30)),

@@ -52,6 +52,21 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True, mode="overwrite")
 
 
+def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Entities of in-memory rows; absent values are empty."""
+    return spark.createDataFrame([tuple(r.get(c) for c in REQUIRED) for r in rows], ENTITY).na.fill("")
+
+
+def write_candidates(keyed: DataFrame, path: str) -> None:
+    """The candidate file: item_id_1, item_id_2, blocking_key of (s1, candidate, family)."""
+    write_tsv(keyed.select(*[F.col(c).alias(n) for c, n in zip(("s1", "candidate", "family"), CANDIDATE_FILE)]), path)
+
+
+def write_matches(scored: DataFrame, path: str) -> None:
+    """The match file, from a table with its columns."""
+    write_tsv(scored.select(*MATCH_FILE), path)
+
+
 def write_profile_csv(df: DataFrame, path: str) -> None:
     """One CSV file: a profile has a row per family."""
     df.coalesce(1).write.csv(path, header=True, mode="overwrite")

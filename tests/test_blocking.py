@@ -43,8 +43,18 @@ def test_smoke_pipelines(spark):
 
 
 def test_pair_api(spark):
-    pairs = L.generate_candidate_pairs(entities(spark, S1), entities(spark, S2), entities(spark, S3))
+    pairs = L.generate_candidate_pairs(entities(spark, S1), L.build_index(entities(spark, S2)), L.build_index(entities(spark, S3)))
     assert pairs.columns == ["source1_entity_id", "candidate_entity_id"] and pairs.count() == 6
+    with pytest.raises(ValueError, match="country"):
+        L.build_index(entities(spark, S2).drop("country"))
+
+
+def test_denominators(spark):
+    s1, others = sides(spark)
+    truth = spark.createDataFrame([("S1-001", ["S2-001"]), ("absent", ["S2-001"])], "s1 string, targets array<string>")
+    assert L.evaluate("first", s1, others, truth).first().recall == 1.0  # over the rows of source 1
+    assert L.evaluate("composite", s1, others, truth).first().recall == 0.5  # over the truth's entities
+    assert {r.what: r.n for r in L.totals(s1, others, truth).collect()} == {"S1": 1, "S2": 4, "S3": 2, "truth entities": 2, "truth pairs": 2}
 
 
 @pytest.mark.parametrize("n,kept", [(3, True), (4, False)])

@@ -50,3 +50,28 @@ def test_tsv_round_trip(spark, tmp_path):
 def test_validate_columns(spark):
     with pytest.raises(ValueError, match=r"\['business_address', 'business_name', 'country'\]"):
         tsv.validate_columns(spark.createDataFrame([("a",)], "entity_id string"))
+
+
+def test_rows_and_result_files(spark, tmp_path):
+    assert tsv.from_rows(spark, [{"entity_id": "1", "country": "x"}]).first().business_name == ""
+    keyed = spark.createDataFrame([("a", "b", "postal")], "s1 string, candidate string, family string")
+    tsv.write_candidates(keyed, str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), sep="\t", header=True).columns == tsv.CANDIDATE_FILE
+    scored = spark.createDataFrame([("a", "b", 0.5, 1)], "item_id_1 string, item_id_2 string, match_score double, is_match int")
+    tsv.write_matches(scored, str(tmp_path / "m"))
+    assert spark.read.csv(str(tmp_path / "m"), sep="\t", header=True).columns == tsv.MATCH_FILE
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kinblock.__main__ import main
+
+    for name, rows in (("s1", "a\tAcme\t1 Road\tx\n"), ("s2", "b\tacme\t2 Road\tx\n"), ("s3", "c\tzeta\t\tx\n")):
+        (tmp_path / name).write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + rows)
+    (tmp_path / "t").write_text("source1_entity_id\tmatched_entity_ids\na\tb\n")
+    files = [x for n in ("s1", "s2", "s3") for x in (f"--{n}", str(tmp_path / n))]
+    main(["composite", *files, "--truth", str(tmp_path / "t"), "--out", str(tmp_path / "out")])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).collect()] == [("S2", "a", "b")]
+    assert "total_true" in capsys.readouterr().out
+    main(["profile", *files])
+    with pytest.raises(SystemExit):
+        main(["sweep", *files])
