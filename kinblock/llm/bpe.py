@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .tokenfile import list_array
-from .tokens import Encoder, column_bytes, tokenizer_path
+from .tokens import Encoder, column_bytes, flattened, tokenizer_path
 
 MODEL = "byte_bpe_multi_50k.tiktoken"
 
@@ -124,13 +124,13 @@ class Model:
         self.decimal = _Table([b"%d," % i for i in range(size)])
         self.encoder = Encoder(self._encode)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for w in words:
             b = w.encode()
             k = self.hash.get(b)
             out.append([self.id_of[k]] if k >= 0 else merge(b, self.rank))
-        return out
+        return flattened(out)
 
 
 class _Table:

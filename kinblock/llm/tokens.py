@@ -95,9 +95,9 @@ def _pieces(text: bytes) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of texts, by ``encode(list of distinct pre-tokens) -> list of id lists``."""
+    """Ids of texts, by ``encode(list of distinct pre-tokens) -> (number of ids of each, all ids)``."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], bound: int = CACHE):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int = CACHE):
         self.encode, self.bound = encode, bound
         self._clear()
 
@@ -114,11 +114,9 @@ class Encoder:
         slot = self.slot
         new = [w for w in words if w not in slot]
         if new:
-            lists = self.encode(new)
+            sizes, ids = self.encode(new)
             first, n = len(slot), len(slot) + len(new)
             slot.update(zip(new, range(first, n)))
-            sizes = np.fromiter(map(len, lists), np.int32, len(new))
-            ids = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
             if n > len(self.size):
                 self.size = np.resize(self.size, 2 * n)
                 self.begin = np.resize(self.begin, 2 * n)
@@ -172,6 +170,42 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+    return sizes, np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
+
+
+def _by_library(tok) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Pre-tokens through the library: those of letters or digits line by line in one call, as a
+    line break between two of them is a token of its own; the others one by one."""
+    one = lambda text: tok.encode(text, add_special_tokens=False).ids
+    ends = one("\n")
+    joins = len(ends) == 1 and one("ab\n cd\nef\n12") == [*one("ab"), *ends, *one(" cd"), *ends, *one("ef"), *ends, *one("12")]
+
+    def run(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((joins and (w[1:] if w[0] == " " else w).isalnum() for w in words), bool, len(words))
+        lines = [w for w, p in zip(words, plain.tolist()) if p]
+        sizes = np.zeros(len(words), np.int32)
+        found = np.zeros(0, np.int32)
+        if lines:
+            blocks = ["\n".join(lines[k : k + 2048]) + "\n" for k in range(0, len(lines), 2048)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in tok.encode_batch_fast(blocks, add_special_tokens=False)])
+            at = np.flatnonzero(ids == ends[0])
+            sizes[plain] = np.diff(at, prepend=-1) - 1
+            found = ids[ids != ends[0]]
+        rest = [w for w, p in zip(words, plain.tolist()) if not p]
+        if not rest:
+            return sizes, found
+        lists = [e.ids for k in range(0, len(rest), 4096) for e in tok.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)]
+        sizes[~plain], other = flattened(lists)
+        out = np.empty(int(sizes.sum()), np.int32)
+        by_word = np.repeat(plain, sizes)
+        out[by_word], out[~by_word] = found, other
+        return sizes, out
+
+    return run
+
+
 _LIBRARY: dict[str, Encoder] = {}
 
 
@@ -185,13 +219,7 @@ def library_encoder(name: str) -> Encoder:
 
         tok = Tokenizer.from_file(tokenizer_path(name))
         tok.encode_special_tokens = True
-        _LIBRARY[name] = Encoder(
-            lambda words: [
-                e.ids
-                for k in range(0, len(words), 4096)
-                for e in tok.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)
-            ]
-        )
+        _LIBRARY[name] = Encoder(_by_library(tok))
     return _LIBRARY[name]
 
 
