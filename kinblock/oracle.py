@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BLOCKS, ENTITY_SQL, SMALL_CAP
+from .queries import BLOCKS, ENTITY_SQL, SMALL_CAP, TEXT_SQL
 
 _LEGAL = "l l c|private limited|pvt limited|pvt ltd|private ltd|limited|ltd|corporation|corp|incorporated|inc|llc|pllc|co|company"
 _LEGAL_WS = _LEGAL.replace("l l c|", "")
@@ -36,16 +36,17 @@ def _series(c: str) -> str:
     return f"trim(regexp_replace(replace(nfc_normalize(lower({c})), '&', ' and '), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
-ENT = f"ent AS ({ENTITY_SQL.format(documents='documents')})"
+ENT = f"ent AS ({ENTITY_SQL.format(part='part')})"
+TEXTS = f"ent AS ({TEXT_SQL.format(documents='documents')})"
 
 
-def signature(form: str = "basic", sets: bool = True, first: bool = False) -> str:
+def signature(form: str = "basic", sets: bool = True, first: bool = False, rows: str = ENT) -> str:
     """CTEs ``ent`` and ``sig``."""
     norm = {"basic": _basic, "word": _word, "series": _series}[form]
     suffix = f"trim(regexp_replace(nm, '(?:\\s+(?:{_LEGAL_WS}))+$', ''))" if form == "series" else f"regexp_replace(nm, '(?:(?:^| )(?:{_LEGAL}))+$', '')"
     name_stop, addr_stop = (_NAME_32, _ADDR_25) if first else (_NAME_39, _ADDR_21)
     some = (lambda x: f"list_sort(list_distinct({x}))") if sets else (lambda x: x)
-    return f"""{ENT},
+    return f"""{rows},
 n1 AS (SELECT entity_id, src, lower(trim(country)) AS country, {norm("business_name")} AS nm, {norm("business_address")} AS ad,
               regexp_extract_all(business_address, '\\p{{Nd}}+') AS nums FROM ent),
 n2 AS (SELECT *, {suffix} AS ns, replace(nm, ' ', '') AS cp FROM n1),
@@ -58,8 +59,8 @@ sig AS (SELECT entity_id, src, country, nm, ns, cp, nums,
   FROM n2)"""
 
 
-def _from(select: str, **options) -> str:
-    return f"WITH {signature(**options)} SELECT entity_id, {select} AS value FROM sig"
+def _from(select: str, rows: str = TEXTS, **options) -> str:
+    return f"WITH {signature(rows=rows, **options)} SELECT entity_id, {select} AS value FROM sig"
 
 
 def _grams(c: str) -> str:
@@ -148,10 +149,10 @@ def _rare(budget: dict[str, int], most: int, p: str = "r") -> str:
 {p}p AS (SELECT s.src, s.s1, k.entity_id AS candidate, min(s.df) AS df FROM {p}sel s JOIN {p}ks k USING (src, {_KEY}) GROUP BY ALL)"""
 
 
-TRUTH = """tr AS (SELECT CAST(a.doc_id AS VARCHAR) AS s1,
-        list(DISTINCT CAST(b.doc_id AS VARCHAR)) FILTER (WHERE b.doc_id IS NOT NULL) AS targets
-    FROM documents a LEFT JOIN documents b ON substring(a.text, 1, 80) = substring(b.text, 1, 80) AND b.doc_id % 3 > 0
-    WHERE a.doc_id % 3 = 0 GROUP BY a.doc_id),
+TRUTH = """tr AS (SELECT CAST(a.p_partkey AS VARCHAR) AS s1,
+        list(DISTINCT CAST(b.p_partkey AS VARCHAR)) FILTER (WHERE b.p_partkey IS NOT NULL) AS targets
+    FROM part a LEFT JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND b.p_partkey % 3 > 0
+    WHERE a.p_partkey % 3 = 0 GROUP BY a.p_partkey),
 tp AS (SELECT s1, unnest(targets) AS target FROM tr)"""
 
 FIRST = {
@@ -221,7 +222,7 @@ def _scored(tail: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    text = lambda e: f"WITH {ENT} SELECT entity_id, {e} AS value FROM ent"
+    text = lambda e: f"WITH {TEXTS} SELECT entity_id, {e} AS value FROM ent"
     joined = lambda e: f"array_to_string({e}, '|')"
     plus = lambda e: f"array_to_string(list_transform({e}, lambda p: p.a || '+' || p.b), '|')"
     out = {
@@ -245,12 +246,12 @@ def oracle_sql() -> dict[str, str]:
         "prefix5": _from("substring(cp, 1, 5)"),
         "prefix8": _from("substring(cp, 1, 8)"),
         "translit_prefix": _from("substring(regexp_replace(nm, '[^a-z0-9]', '', 'g'), 1, 6)"),
-        "token_pairs": _from(plus("flatten(list_transform(range(1, len(atk) + 1), lambda i: list_transform(range(i + 1, len(atk) + 1), lambda j: {'a': atk[i], 'b': atk[j]})))")),
+        "token_pairs": _from(plus("flatten(list_transform(range(1, len(atk) + 1), lambda i: list_transform(range(i + 1, len(atk) + 1), lambda j: {'a': atk[i], 'b': atk[j]})))"), ENT),
         "cross_keys": _from(plus("flatten(list_transform(nt, lambda x: list_transform(pc, lambda y: {'a': x, 'b': y})))")),
         "pair_key": _from("country || '|' || least(coalesce(nt[1], ''), num) || '|' || greatest(coalesce(nt[1], ''), num)"),
         "char_ngrams": _from(f"CASE WHEN length(cp) >= 3 THEN array_to_string(list_sort({_grams('cp')}), '|') ELSE '' END"),
-        "name_features": f"WITH {signature()} SELECT s.entity_id, {_strip('business_name')} AS raw, nm AS basic, cp AS compact, ns AS no_suffix, nm AS transliterated FROM sig s JOIN ent USING (entity_id)",
-        "address_features": f"""WITH {signature()} SELECT s.entity_id, {_strip('business_address')} AS raw, ad AS basic, replace(ad, ' ', '') AS compact,
+        "name_features": f"WITH {signature(rows=TEXTS)} SELECT s.entity_id, {_strip('business_name')} AS raw, nm AS basic, cp AS compact, ns AS no_suffix, nm AS transliterated FROM sig s JOIN ent USING (entity_id)",
+        "address_features": f"""WITH {signature(rows=TEXTS)} SELECT s.entity_id, {_strip('business_address')} AS raw, ad AS basic, replace(ad, ' ', '') AS compact,
             array_to_string(nums, ' ') AS numbers, CAST(len(nums) AS BIGINT) AS n_numbers FROM n1 s JOIN ent USING (entity_id)""",
         "truth_pairs": f"WITH {TRUTH} SELECT * FROM tp",
     }

@@ -1,7 +1,10 @@
 """Registered queries of the blocking engine over the driver's tables.
 
-``documents`` stand in for business entities: the mapping is one SQL
-expression that Spark and DuckDB read alike.
+Two mappings give business entities, each one SQL expression that Spark and
+DuckDB read alike and each over a whole table and whole column values:
+``part`` for keys, blocks and candidates, whose names and addresses are short
+fields as those of businesses are, and ``documents``, with the whole text as
+name and in the address, for text forms, tokens and numbers.
 """
 
 from __future__ import annotations
@@ -22,23 +25,33 @@ from .sources.tsv import load_truth
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ENTITY_SQL = """
+_SUFFIX = """CASE {id} % 5 WHEN 0 THEN '' WHEN 1 THEN ' Pvt. Ltd.' WHEN 2 THEN ' & Co' WHEN 3 THEN '.com' ELSE ' Private Limited' END"""
+ENTITY_SQL = f"""
+SELECT CAST(p_partkey AS STRING) AS entity_id,
+       concat(p_name, {_SUFFIX.format(id="p_partkey")}) AS business_name,
+       concat(CAST(p_size AS STRING), ', ', p_name, ' ', p_brand, ' ',
+              CAST(10000 + CAST(floor(p_retailprice * 10) AS INT) % 40 AS STRING)) AS business_address,
+       p_type AS country,
+       CAST(p_partkey % 3 AS INT) AS src
+FROM {{part}}
+"""
+TEXT_SQL = f"""
 SELECT CAST(doc_id AS STRING) AS entity_id,
-       concat(substring(text, 1, 40),
-              CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' Pvt. Ltd.'
-                              WHEN 2 THEN ' & Co' WHEN 3 THEN '.com'
-                              ELSE ' Private Limited' END) AS business_name,
-       concat(CAST(n_chars % 97 AS STRING), ', ', substring(text, 41, 60), ' ',
-              CAST(10000 + n_chars % 400 AS STRING)) AS business_address,
+       concat(coalesce(text, ''), {_SUFFIX.format(id="doc_id")}) AS business_name,
+       concat(CAST(n_chars % 97 AS STRING), ', ', coalesce(text, ''), ' ', CAST(10000 + n_chars % 400 AS STRING)) AS business_address,
        lang AS country,
        CAST(doc_id % 3 AS INT) AS src
-FROM {documents}
+FROM {{documents}}
 """
 SMALL_CAP = 5
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ENTITY_SQL.format(documents="{docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.sql(ENTITY_SQL.format(part="{parts}"), parts=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TEXT_SQL.format(documents="{docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,25 +60,26 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per s1 the other sources' documents with the same first 80 characters, through the truth loader."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id"), F.substring("text", 1, 80).alias("t"))
-    a = d.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("source1_entity_id"), "t")
-    b = d.where("doc_id % 3 > 0").select(F.col("doc_id").cast("string").alias("target"), "t")
-    raw = a.join(b, "t", "left").groupBy("source1_entity_id").agg(F.concat_ws(",", F.sort_array(F.collect_list("target"))).alias("matched_entity_ids"))
+    """Per s1 the other sources' parts with the same name and brand, through the truth loader."""
+    d = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
+    a = d.where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("source1_entity_id"), "p_name", "p_brand")
+    b = d.where("p_partkey % 3 > 0").select(F.col("p_partkey").cast("string").alias("target"), "p_name", "p_brand")
+    lists = b.groupBy("p_name", "p_brand").agg(F.concat_ws(",", F.sort_array(F.collect_list("target"))).alias("matched_entity_ids"))
+    raw = a.join(lists, ["p_name", "p_brand"], "left").select("source1_entity_id", F.coalesce("matched_entity_ids", F.lit("")).alias("matched_entity_ids"))
     return load_truth(raw, "source1_entity_id")
 
 
 def _names(make, column: str = "business_name", alias: str = "value") -> Query:
-    return lambda s, d: entities(s, d).select("entity_id", make(F.col(column)).alias(alias))
+    return lambda s, d: texts(s, d).select("entity_id", make(F.col(column)).alias(alias))
 
 
-def _from_signature(make, style=SETS) -> Query:
-    return lambda s, d: signature(entities(s, d), style).select("entity_id", make().alias("value"))
+def _from_signature(make, rows=texts, style=SETS) -> Query:
+    return lambda s, d: signature(rows(s, d), style).select("entity_id", make().alias("value"))
 
 
 def _joined(make) -> Query:
     """Array results as text, one join of the items."""
-    return lambda s, d: entities(s, d).select("entity_id", F.array_join(make(), "|").alias("value"))
+    return lambda s, d: texts(s, d).select("entity_id", F.array_join(make(), "|").alias("value"))
 
 
 def _pairs_text(c) -> F.Column:
@@ -147,14 +161,14 @@ def queries() -> dict[str, Query]:
         "prefix5": _names(lambda c: K.prefix(T.compact(basic(c)), 5)),
         "prefix8": _names(lambda c: K.prefix(T.compact(basic(c)), 8)),
         "translit_prefix": _names(lambda c: K.prefix(K.ascii_only(T.transliterate(c)), 6)),
-        "token_pairs": _from_signature(lambda: _pairs_text(K.pairs(F.col("address_tokens")))),
+        "token_pairs": _from_signature(lambda: _pairs_text(K.pairs(F.col("address_tokens"))), entities),
         "cross_keys": _from_signature(lambda: _pairs_text(K.cross(F.col("name_tokens"), F.col("postals")))),
-        "pair_key": lambda s, d: signature(entities(s, d), SETS).select(
+        "pair_key": lambda s, d: signature(texts(s, d), SETS).select(
             "entity_id", K.pair_key(F.col("country"), K.first_or_empty(F.col("name_tokens")), F.col("number")).alias("value")
         ),
         "char_ngrams": _from_signature(lambda: F.array_join(F.array_sort(K.char_ngrams(F.col("compact"))), "|")),
-        "name_features": lambda s, d: entities(s, d).select("entity_id", T.name_features(_name()).alias("f")).select("entity_id", "f.*"),
-        "address_features": lambda s, d: entities(s, d).select("entity_id", T.address_features(_address()).alias("f")).select(
+        "name_features": lambda s, d: texts(s, d).select("entity_id", T.name_features(_name()).alias("f")).select("entity_id", "f.*"),
+        "address_features": lambda s, d: texts(s, d).select("entity_id", T.address_features(_address()).alias("f")).select(
             "entity_id", "f.raw", "f.basic", "f.compact", "f.numbers", F.size("f.address_number_tokens").cast("long").alias("n_numbers")
         ),
         "truth_pairs": lambda s, d: E.truth_pairs(truth(s, d)),
