@@ -247,7 +247,7 @@ def oracle_sql() -> dict[str, str]:
         "prefix8": _from("substring(cp, 1, 8)"),
         "translit_prefix": _from("substring(regexp_replace(nm, '[^a-z0-9]', '', 'g'), 1, 6)"),
         "token_pairs": _from(plus("flatten(list_transform(range(1, len(atk) + 1), lambda i: list_transform(range(i + 1, len(atk) + 1), lambda j: {'a': atk[i], 'b': atk[j]})))"), ENT),
-        "cross_keys": _from(plus("flatten(list_transform(nt, lambda x: list_transform(pc, lambda y: {'a': x, 'b': y})))")),
+        "cross_keys": _from(plus("flatten(list_transform(nt, lambda x: list_transform(pc, lambda y: {'a': x, 'b': y})))"), ENT),
         "pair_key": _from("country || '|' || least(coalesce(nt[1], ''), num) || '|' || greatest(coalesce(nt[1], ''), num)"),
         "char_ngrams": _from(f"CASE WHEN length(cp) >= 3 THEN array_to_string(list_sort({_grams('cp')}), '|') ELSE '' END"),
         "name_features": f"WITH {signature(rows=TEXTS)} SELECT s.entity_id, {_strip('business_name')} AS raw, nm AS basic, cp AS compact, ns AS no_suffix, nm AS transliterated FROM sig s JOIN ent USING (entity_id)",

@@ -162,7 +162,7 @@ def queries() -> dict[str, Query]:
         "prefix8": _names(lambda c: K.prefix(T.compact(basic(c)), 8)),
         "translit_prefix": _names(lambda c: K.prefix(K.ascii_only(T.transliterate(c)), 6)),
         "token_pairs": _from_signature(lambda: _pairs_text(K.pairs(F.col("address_tokens"))), entities),
-        "cross_keys": _from_signature(lambda: _pairs_text(K.cross(F.col("name_tokens"), F.col("postals")))),
+        "cross_keys": _from_signature(lambda: _pairs_text(K.cross(F.col("name_tokens"), F.col("postals"))), entities),
         "pair_key": lambda s, d: signature(texts(s, d), SETS).select(
             "entity_id", K.pair_key(F.col("country"), K.first_or_empty(F.col("name_tokens")), F.col("number")).alias("value")
         ),
