@@ -1,7 +1,9 @@
 """Secret scans: pattern candidates, cleared of false positives by a random forest.
 
 Candidates are runs of 16 or more key characters with a digit among them,
-values given to a password, and headers of private keys.  Features: length,
+values of any length given to a name that holds password, token, secret, key
+and the like (quoted or not, in an address up to the next parameter), words
+after bearer, and headers of private keys.  Features: length,
 shares and transitions of character classes, common letter pairs, dictionary
 coverage, the path, and the neighbouring words.  The forest is trained on a
 table of labelled findings (by default LABELLED rows generated by rule, or the
@@ -29,11 +31,21 @@ LABELLED = 3000
 TREES, DEPTH, SEED = 16, 6, 11
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-_ASSIGN = "(?i:\\b(?:password|passwd|pwd))[\"']?[ \\t]{0,3}[:=][ \\t]{0,3}[\"']?"
+_NAME = "(?=[pPtTsScCaAkK])(?:(?i:passw|passphrase|pwd|token|secret|credential|api[_.-]?key|access[_.-]?key|private[_.-]?key)|(?<![A-Za-z])(?i:key)|(?<=[a-z])Key)"
+_PLAIN_NAME = "(?i:passw|passphrase|pwd)"
+_TAIL = "[A-Za-z0-9_.-]{0,64}+"
+_GIVEN = "[\"']?[ \\t]*+(?:=>|:=|={2,3}(?=[ \\t\"'])|[:=](?!=))[ \\t]*+[\"']?"
+_BEARER = "(?i:\\bbearer)[ \\t]++"
+_ASSIGN = f"(?:{_NAME}{_TAIL}{_GIVEN}|{_BEARER})(?=[^\\s\"'])"
+#: Values: of a password anything up to a blank or quote, of other names no separators of lists and code.
+_VALUE = "[^\\s\"'=,;&<>(){}\\[\\]\\\\`|]++(?:={1,2}(?![A-Za-z0-9]))?"
+_IN_ADDRESS = f"{_NAME}{_TAIL}(?<=[?&][A-Za-z0-9_.-]{{0,99}})=[^\\s\"'&#]+"
+_GIVEN_VALUE = f"(?:{_IN_ADDRESS}|(?={_PLAIN_NAME}){_NAME}{_TAIL}{_GIVEN}[^\\s\"']+|{_NAME}{_TAIL}{_GIVEN}{_VALUE})"
 CANDIDATE = (
     "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    f"|{_ASSIGN}[^\\s\"']{{6,}}"
-    "|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+    f"|{_GIVEN_VALUE}|{_BEARER}{_VALUE}"
+    # a run that is itself such a name, with a value after it, leaves the place to the value
+    f"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?![A-Za-z0-9+/_-]*?{_GIVEN_VALUE})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
 )
 _WORDS = (
     "about|access|address|admin|after|author|article|backup|branch|build|button|cache|change|check|class|client|close|color|column"
@@ -88,13 +100,25 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     good_path = pick("src/app.py", "config/prod.yml", "src12", ".env", "settings.ini", "", "deploy/main.tf")
     any_path = pick("src/app.py", "src3", "package.lock", "docs/guide.md", "", "tests/test_auth.py", "index.min.js")
     key = pick("token = \"", "and token = \"", "api_key: '", "secret=\"", "ACCESS_KEY=\"", "auth_token = '", "client_secret: \"")
+    bare = pick("GITHUB_TOKEN=", "api_key=", "?token=", "client_secret=", "export SECRET_KEY=", "AWS_SECRET_ACCESS_KEY=", "auth_token: ", "DB_PASSWORD=", "my_password = ", "apiKey: ")
+    named = pick("token: ", "token = ", "key: ", "secret: ", "password: ", "api_key=", "access_token = ", "the bearer ", "auth_token = \"", "secret_name: ")
+    code = pick("none", "true", "null", "string", "required", "self.token", "config.get", "user_token", "undefined", "value", "access_token", "os.environ", "request.headers.get", "get_password", "$", "str", "name", "primary", "settings.API_KEY", "optional").replace("xxhash64(id, 2)", "xxhash64(id, 5)")
+    prose = "concat(" + ", ".join(f"element_at(array('the','er','on','ti','re','and','es','ment','la','que','ing','de'), CAST(1 + pmod(xxhash64(id, {k}), 12) AS INT))" for k in (3, 4)) + ", if(id % 2 = 0, '', '.'))"
     kinds = [
         (f"left({hex_}, CAST(32 + 8 * pmod(id, 3) AS INT))", key, "\"", good_path, 1),
         (f"left({b64}, {size})", key, "\"", good_path, 1),
         (f"left({b64}, {size})", pick("password = ", "Authorization: Bearer ", "passwd: ", "pwd="), "\\n", good_path, 1),
         (f"left({b64}, CAST(8 + pmod(id, 7) AS INT))", pick("password = ", "password: \"", "passwd = '", "pwd="), " ", good_path, 1),
-        (f"concat('AKIA', upper(left({hex_}, 16)))", pick("aws: ", "", "id = \"", "the key is "), "\"", good_path, 1),
-        (f"concat('ghp_', left(replace({b64}, '-', 'x'), 36))", pick("", "push with ", "git: "), " ", any_path, 1),
+        (f"concat('AKIA', upper(left({hex_}, 16)))", pick("aws: ", "", "id = \"", "the key is ", "AWS=", "AWS_ACCESS_KEY_ID="), "\"", good_path, 1),
+        (f"concat('ghp_', left(replace({b64}, '-', 'x'), 36))", pick("", "push with ", "git: ", "GITHUB_TOKEN="), " ", any_path, 1),
+        (f"left({b64}, {size})", bare, "\\n", good_path, 1),
+        (f"left({hex_}, CAST(16 + pmod(id, 48) AS INT))", bare, "&", any_path, 1),
+        (f"left({b64}, CAST(8 + pmod(id, 9) AS INT))", bare, "\\n", good_path, 1),
+        (f"left(translate({b64}, '0123456789-_', 'qzxjkvwQZXJK'), CAST(12 + pmod(id, 30) AS INT))", bare, " ", any_path, 1),
+        (f"left(translate({b64}, '0123456789-_', 'qzxjkvwQZXJK'), CAST(12 + pmod(id, 30) AS INT))", key, "\"", good_path, 1),
+        (code, named, " ", any_path, 0),
+        (prose, named, " ", any_path, 0),
+        (word, named, "(", any_path, 0),
         (hex_, pick("sha256: ", "sha256=", "checksum \"", "digest: \""), " ", any_path, 0),
         (f"left({hex_}, 40)", pick("commit ", "merged at revision ", "sha1 ", "rev "), " and", any_path, 0),
         (f"concat_ws('-', left({hex_}, 8), substr({hex_}, 9, 4), substr({hex_}, 13, 4), substr({hex_}, 17, 4), substr({hex_}, 21, 12))", pick("uuid: ", "id = \"", "request ", "guid "), "\"", any_path, 0),
