@@ -5,9 +5,12 @@ are cut, into full pieces with a shorter first one.  The number of pieces of
 each length (at most CAPACITY numbers) is all that the driver sees.  The
 covering program over configurations (multisets of lengths that fit one
 sequence) is solved by multiplicative weights: a length's weight falls as its
-demand is met, a knapsack dynamic program finds the configuration of largest
-weighted length, and a share of what the remaining demand allows is taken,
-rounded down.  What rounding leaves is placed by best fit.
+demand is met, a knapsack dynamic program over any number of copies finds the
+configuration of largest weighted length, and a share of what the remaining
+demand allows is taken, rounded down.  The weights over the value of that
+configuration bound the sequences from below; at intervals what is left is
+placed by best fit, the best such plan is kept, and the program ends when it
+meets the bound, or after ROUNDS.
 
 The plan lists, per length, ranges of piece ranks and the sequences they go
 to.  A piece's rank among its length is its rank within its part (counted
@@ -34,60 +37,78 @@ END_ID = 2
 #: Share of the demand that a configuration may take at once, and rounds at that share.
 SHARE, ROUNDS = 0.25, 1500
 RATE = 1.0
+#: Steps between two completions by best fit.
+TRY_EVERY = 100
 
 
 def _knapsack(lengths: np.ndarray, profit: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
     """Index -> copies (at most ``most``) of the best-paid multiset of ``lengths`` within ``capacity``."""
     best = np.zeros(capacity + 1)
-    taken = np.zeros((len(lengths), capacity + 1), np.bool_)
-    item: list[int] = []
+    steps: list[tuple[int, int, np.ndarray]] = []  # (index, copies at once, where that is better)
     copies = np.zeros(len(lengths), int)
-    order = np.argsort(-lengths, kind="stable")
-    k = 0
-    for i in order.tolist():
+    for i in np.argsort(-lengths, kind="stable").tolist():
         size = int(lengths[i])
-        for _ in range(min(int(most[i]), 2, capacity // size) if size < capacity else 1):
-            if k == len(taken):
-                taken = np.concatenate([taken, np.zeros_like(taken)])
-            other = best[: capacity + 1 - size] + profit[i]
-            better = other > best[size:]
-            best[size:][better] = other[better]
-            taken[k, size:] = better
-            item.append(i)
-            k += 1
+        rest, at_once = min(int(most[i]), capacity // size), 1
+        while rest:  # 1, 2, 4, ... copies and the rest reach every number
+            at_once = min(at_once, rest)
+            other = best[: capacity + 1 - at_once * size] + at_once * profit[i]
+            better = other > best[at_once * size :]
+            best[at_once * size :][better] = other[better]
+            steps.append((i, at_once, better))
+            rest -= at_once
+            at_once *= 2
     room = capacity
-    while k:
-        k -= 1
-        if taken[k, room]:
-            copies[item[k]] += 1
-            room -= int(lengths[item[k]])
+    for i, at_once, better in reversed(steps):
+        size = at_once * int(lengths[i])
+        if room >= size and better[room - size]:
+            copies[i] += at_once
+            room -= size
     return {int(i): int(copies[i]) for i in np.flatnonzero(copies)}
 
 
 def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """(number of sequences, {length: copies}) that cover the histogram ``counts`` exactly."""
+    whole = [(counts[capacity], {capacity: 1})] if counts.get(capacity) else []
     plan: list[tuple[int, dict[int, int]]] = []
-    if counts.get(capacity):
-        plan.append((counts[capacity], {capacity: 1}))
     lengths = np.array(sorted(x for x, n in counts.items() if n and x < capacity), np.int64)
     left = np.array([counts[x] for x in lengths.tolist()], np.int64)
     demand = np.maximum(left, 1).astype(float)
     weight = np.ones(len(lengths))
+    rest = lambda: _best_fit({int(x): int(n) for x, n in zip(lengths, left) if n}, capacity)
+    taken, filled = 0, True
+    best, used = rest(), 0  # the best ending, and how many entries of the plan go before it
+    least = sum(n for n, _ in best)
+    bound = -(-int((lengths * left).sum()) // capacity)  # on all sequences
     for step in range(ROUNDS):
         alive = np.flatnonzero(left > 0)
-        if not len(alive):
+        if not len(alive) or least <= bound:
             break
-        pick = _knapsack(lengths[alive], lengths[alive] * weight[alive], left[alive], capacity)
+        profit = lengths[alive] * weight[alive]
+        pick = _knapsack(lengths[alive], profit, left[alive], capacity)
         rows = alive[list(pick)]
         copies = np.array(list(pick.values()))
-        if int((lengths[rows] * copies).sum()) < capacity - capacity // 256:
-            break  # the weights no longer fill sequences: best fit does the rest
+        lower = float((profit * left[alive]).sum() / (lengths[rows] * weight[rows] * copies).sum())
+        lower = int(np.ceil(lower * (1 - 1e-9)))  # on the sequences of what is left
+        if not step:
+            bound = max(bound, lower)
+        was_filled, filled = filled, filled and int((lengths[rows] * copies).sum()) >= capacity - capacity // 256
+        if step and (step % TRY_EVERY == 0 or was_filled and not filled):
+            ending = rest()
+            number = taken + sum(n for n, _ in ending)
+            if number < least:
+                best, least, used = ending, number, len(plan)
+            if number <= taken + lower:
+                break  # no other ending is shorter
         times = int((left[rows] // copies).min())
         times = max(1, int(times * SHARE)) if times > 3 else times
         left[rows] -= times * copies
+        taken += times
         weight[rows] *= np.exp(-RATE * times * copies / demand[rows])
         plan.append((times, dict(zip(lengths[rows].tolist(), copies.tolist()))))
-    return plan + _best_fit({int(x): int(n) for x, n in zip(lengths, left) if n}, capacity)
+    ending = rest()
+    if taken + sum(n for n, _ in ending) < least:
+        best, used = ending, len(plan)
+    return whole + plan[:used] + best
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:

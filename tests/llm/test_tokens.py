@@ -173,3 +173,11 @@ def test_plan_places_every_piece(counts):
         else:
             bins.append(length)
     assert sum(n for n, _ in plan) <= len(bins) * 1.03 + 2
+
+
+def test_plan_takes_any_number_of_copies():
+    plan = packing.configurations({424: 100, 200: 300})
+    assert sum(n for n, _ in plan) == 100  # all are {424, 200, 200, 200}
+    counts = {x: 200 for x in range(300, 400)}
+    plan = packing.configurations(counts)
+    assert sum(n for n, _ in plan) < 0.98 * sum(n for n, _ in packing._best_fit(counts, 1024))
