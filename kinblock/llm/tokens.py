@@ -3,6 +3,7 @@
 A batch of texts becomes one buffer; the cuts of the byte-level pre-token
 pattern (contractions, runs of letters, digits or other signs with one space
 before them, white space) are found by array operations on character classes.
+A tokenizer's added tokens are found first and are pre-tokens of their own.
 Distinct pre-tokens of a slice are then encoded once and remembered, up to a
 bound, in the worker.  No step needs memory beyond a slice of SLICE bytes and
 the longest text's own pieces; texts above SLICE are cut where the pattern
@@ -95,10 +96,13 @@ def _pieces(text: bytes) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of texts, by ``encode(list of distinct pre-tokens) -> (number of ids of each, all ids)``."""
+    """Ids of texts, by ``encode(list of distinct pre-tokens) -> (number of ids of each, all ids)``;
+    ``added``: literals that are never cut."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int = CACHE):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int = CACHE, added: tuple[str, ...] = ()):
         self.encode, self.bound = encode, bound
+        longest_first = sorted((x.encode() for x in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, longest_first))) if added else None
         self._clear()
 
     def _clear(self) -> None:
@@ -128,9 +132,19 @@ class Encoder:
             self.used += len(ids)
         return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
 
+    def _cuts(self, data: bytes, doc_ends: np.ndarray) -> np.ndarray:
+        if self.added is None or not self.added.search(data):
+            return cuts(data, doc_ends)
+        docs = zip([0, *doc_ends.tolist()], doc_ends.tolist())
+        spans = np.array([m.span() for a, b in docs for m in self.added.finditer(data, a, b)], np.int64).reshape(-1, 2)
+        where = cuts(data, np.union1d(doc_ends, spans))  # on both sides the text begins anew
+        nth = np.searchsorted(spans[:, 0], where, side="left") - 1  # the last span that begins before
+        inside = (nth >= 0) & (where < np.append(spans[:, 1], 0)[nth])
+        return where[~inside]
+
     def _slice(self, data: bytes, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``data`` and their number in each text."""
-        where = cuts(data, doc_ends)
+        where = self._cuts(data, doc_ends)
         if len(where) < 2:
             return np.zeros(0, np.int32), np.zeros(len(doc_ends), np.int64)
         words = pa.StringArray.from_buffers(len(where) - 1, pa.py_buffer(where.astype(np.int32).tobytes()), pa.py_buffer(data))
@@ -218,8 +232,10 @@ def library_encoder(name: str) -> Encoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path(name))
-        tok.encode_special_tokens = True
-        _LIBRARY[name] = Encoder(_by_library(tok))
+        added = tok.get_added_tokens_decoder().values()
+        if any(a.lstrip or a.rstrip or a.single_word for a in added):
+            raise ValueError(f"{name}: added tokens that depend on what is beside them")
+        _LIBRARY[name] = Encoder(_by_library(tok), added=tuple(a.content for a in added))
     return _LIBRARY[name]
 
 

@@ -181,3 +181,18 @@ def test_plan_takes_any_number_of_copies():
     counts = {x: 200 for x in range(300, 400)}
     plan = packing.configurations(counts)
     assert sum(n for n, _ in plan) < 0.98 * sum(n for n, _ in packing._best_fit(counts, 1024))
+
+
+def test_added_tokens_are_matched(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", "x <|endof", "text|> y", f"é  {end}'s\n\n{end} 12", f"<{end}>", f"it{end}'ll  ", "", "no <|end|> here"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    got = [x for _, ids, n in tokens.library_encoder("byte_bpe_50k.json").texts([t.encode() for t in texts]) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert [x.tolist() for x in got] == want
+    docs = documents(spark, list(enumerate(texts)))
+    assert [r[2] for r in sorted(tuple(r) for r in tokenfile.op3(docs).collect())] == [len(x) + 1 for x in want]
+    assert {r.doc_id: r.ids_crc32 for r in packing.op5(docs).collect()} == {k: crc([*x, 2]) for k, x in enumerate(want)}
