@@ -4,8 +4,8 @@ Every template is a short licence text with its label and the key phrases
 that must be present.  The index lists, for each rare word of a template, its
 places there.  One pass over the corpus counts in how many documents each
 licence word occurs (at most as many numbers as there are licence words); the
-second pass looks up, per file, its licence words of highest inverse document
-frequency, meets the template postings at the same relative position, sums
+second pass looks up, per file that may hold a key phrase, all its indexed
+words, meets the template postings at the same relative position, sums
 the weights along each alignment, and accepts a template whose best alignment
 reaches THRESHOLD of its weight and holds all its key phrases there.
 
@@ -30,8 +30,6 @@ from .common import barrier
 
 WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 THRESHOLD = 0.6
-#: Licence words of a file that are looked up, besides the phrases' own.
-PER_FILE = 24
 #: Rare words of a template that are indexed.
 PER_TEMPLATE = 8
 
@@ -182,17 +180,15 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
     indexed = [w for w in index.by_idf if w in index.postings]
     base = {index.phrases.index(tuple(p.split())): label for p, label in BASE.items()}
     words = docs.select("doc_id", words_of(F.col("text")).alias("__w"))
-    # the file's licence words, rarest first, and always the phrases' anchors
-    top = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in indexed]), F.col("__w")), 1, PER_FILE)
     hinted = F.exists("__w", lambda w: w.isin(anchors))
-    looked = words.select("doc_id", "__w", F.size("__w").cast("long").alias("n_words"), F.when(hinted, F.array_union(top, F.array(*[F.lit(w) for w in anchors]))).alias("__k"))
+    looked = words.select("doc_id", "__w", F.size("__w").cast("long").alias("n_words"), hinted.alias("__k"))
     placed = looked.select(
         "doc_id",
         "n_words",
         "__w",
         F.when(
-            F.size("__k") > 0,
-            F.filter(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: F.array_contains("__k", F.get("__w", i))),
+            F.col("__k"),
+            F.filter(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: F.get("__w", i).isin(sorted({*indexed, *anchors}))),
         )
         .otherwise(F.array().cast("array<int>"))
         .alias("__a"),

@@ -40,5 +40,14 @@ def test_method_labels(spark):
     assert got[99].labels == "" and got[99].score == 0.0 and got[98].labels == ""
 
 
+def test_one_text_with_all_templates(spark):
+    rng = random.Random(8)
+    whole = "\n".join(f"{words(rng, 20)}\n{t.text}" for t in L.TEMPLATES)
+    # the others give the licence words frequencies as in a corpus
+    rows = [(0, whole), *[(1 + k, f"{words(rng, 30)} this software license public the of") for k in range(40)]]
+    got = {r.doc_id: r for r in L.op1(documents(spark, rows)).collect()}
+    assert got[0].labels == ",".join(sorted({t.label for t in L.TEMPLATES})) and got[1].labels == ""
+
+
 def test_empty_table(spark):
     assert L.op1(documents(spark, [])).count() == 0
