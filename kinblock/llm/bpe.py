@@ -10,7 +10,6 @@ empty: no ids.  Bytes decode exactly as encoded.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .tokenfile import list_array
-from .tokens import Encoder, column_bytes, flattened, tokenizer_path
+from .tokens import Encoder, Ranges, column_bytes, flattened, pattern_ranges, tokenizer_path
 
 MODEL = "byte_bpe_multi_50k.tiktoken"
 
@@ -109,9 +108,9 @@ def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 class Model:
-    """A vocabulary of byte strings with ranks as ids."""
+    """A vocabulary of byte strings with ranks as ids; ``ranges``: the character classes of its pattern."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], ranges: Ranges):
         self.rank = ranks
         tokens = list(ranks)
         self.hash = PerfectHash(tokens)
@@ -122,7 +121,7 @@ class Model:
             self.bytes_of[i] = t
         self.raw = _Table(self.bytes_of)
         self.decimal = _Table([b"%d," % i for i in range(size)])
-        self.encoder = Encoder(self._encode)
+        self.encoder = Encoder(self._encode, ranges)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = []
@@ -150,15 +149,21 @@ class _Table:
         return self.flat[np.repeat(self.begin[ids] - end + size, size) + np.arange(end[-1])].tobytes(), end
 
 
-@functools.cache
-def load(name: str) -> Model:
-    with open(tokenizer_path(name), "rb") as f:
-        return Model({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+_LOADED: dict[str, Model] = {}
 
 
-def _encoded(model: str):
+def load(name: str, ranges: Ranges | None = None) -> Model:
+    """The model of a tiktoken file, one a process; ``ranges``: ``pattern_ranges()``, asked for here if not given."""
+    if name not in _LOADED:
+        with open(tokenizer_path(name), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        _LOADED[name] = Model(ranks, ranges or pattern_ranges())
+    return _LOADED[name]
+
+
+def _encoded(model: str, ranges: Ranges):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(model).encoder
+        encoder = load(model, ranges).encoder
         for batch in batches:
             done = 0
             for n, ids, sizes in encoder.texts(column_bytes(batch.column(1))):
@@ -171,7 +176,7 @@ def _encoded(model: str):
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and the ids of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encoded(model), f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_encoded(model, pattern_ranges()), f"doc_id {kind}, ids array<int>")
 
 
 def decode(model: Model, ids: np.ndarray) -> bytes:
@@ -182,9 +187,9 @@ def _spans(ends: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], ends])[offsets]
 
 
-def _digested(model: str):
+def _digested(model: str, ranges: Ranges):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = load(model)
+        m = load(model, ranges)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             done = 0
@@ -209,4 +214,4 @@ def op6(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Encodes every text and decodes the ids; both are reduced to digests in the worker that has them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(_digested(model), shape)
+    return docs.select("doc_id", "text").mapInArrow(_digested(model, pattern_ranges()), shape)

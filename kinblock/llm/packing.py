@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path
 from .tokenfile import FORMAT, MODEL, crc_of_lists, list_array, with_end
-from .tokens import column_bytes, library_encoder
+from .tokens import Ranges, column_bytes, library_encoder, library_ranges
 
 CAPACITY = 1024
 END_ID = 2
@@ -159,11 +159,11 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {x: np.array(rows, np.int64) for x, rows in out.items()}
 
 
-def _pieces(model: str, end: int, capacity: int):
+def _pieces(model: str, end: int, capacity: int, ranges: Ranges):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), library_encoder(model)
+        part, encoder = TaskContext.get().partitionId(), library_encoder(model, ranges)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             done = 0
@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, model: str = MODEL, end_id: int = END_ID, capacity:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids array<int>, part int, rank long"
     path = fresh_path(spark, "pieces")
-    docs.select("doc_id", "text").mapInArrow(_pieces(model, end_id, capacity), shape).write.options(**FORMAT).parquet(path)
+    docs.select("doc_id", "text").mapInArrow(_pieces(model, end_id, capacity, library_ranges(model)), shape).write.options(**FORMAT).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from .tokens import column_bytes, library_encoder
+from .tokens import Ranges, column_bytes, library_encoder, library_ranges
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
@@ -56,11 +56,11 @@ def crc_of_lists(column: pa.Array) -> list[int]:
     return [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
 
 
-def _encoded(model: str, end: int):
+def _encoded(model: str, end: int, ranges: Ranges):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, encoder = TaskContext.get().partitionId(), 0, library_encoder(model)
+        part, before, encoder = TaskContext.get().partitionId(), 0, library_encoder(model, ranges)
         for batch in batches:
             done = 0
             for n, ids, sizes in encoder.texts(column_bytes(batch.column(1))):
@@ -82,7 +82,7 @@ def write(docs: DataFrame, path: str, model: str = MODEL, end_id: int = END_ID)
     # dealt and sorted as texts: encoding comes after the sampling pass of the range exchange
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shape = f"doc_id {kind}, ids array<int>, n_tokens long, part int, part_start long"
-    rows.mapInArrow(_encoded(model, end_id), shape).write.options(**FORMAT).parquet(path)
+    rows.mapInArrow(_encoded(model, end_id, library_ranges(model)), shape).write.options(**FORMAT).parquet(path)
 
 
 def offsets(rows: DataFrame) -> DataFrame:

@@ -3,43 +3,105 @@
 A batch of texts becomes one buffer; the cuts of the byte-level pre-token
 pattern (contractions, runs of letters, digits or other signs with one space
 before them, white space) are found by array operations on character classes.
+The class of every code point is asked of the library whose ids are wanted,
+as libraries know different versions of Unicode; the driver asks once and
+sends the answer (a few thousand ranges) with the task.
+
 A tokenizer's added tokens are found first and are pre-tokens of their own.
-Distinct pre-tokens of a slice are then encoded once and remembered, up to a
-bound, in the worker.  No step needs memory beyond a slice of SLICE bytes and
-the longest text's own pieces; texts above SLICE are cut where the pattern
-surely cuts as well (a space between two ASCII letters).
+Distinct pre-tokens of a slice are then encoded once and remembered in the
+worker, up to a bound in entries and bytes.  No step needs memory beyond a
+slice of SLICE bytes and the longest text's own pieces; texts above SLICE are
+cut where the pattern surely cuts as well (a space between two ASCII letters).
 """
 
 from __future__ import annotations
 
 import functools
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 21
-CACHE = 700_000
+#: Bounds of a worker's memory of pre-tokens: entries, and bytes of them and their ids.
+CACHE, CACHE_BYTES = 300_000, 12 << 20
 SAFE_CUT = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: White space of the pattern: the Unicode property White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 
 
-@functools.cache
-def _classes() -> np.ndarray:
+#: Character classes as ranges: first code point and class of each, ascending.
+Ranges = tuple[np.ndarray, np.ndarray]
+
+
+def _ranges(starts_of: Callable[[str], np.ndarray], together: Callable[[list[str]], np.ndarray]) -> Ranges:
+    """Classes of all code points.  ``starts_of``: the places in a string at which pre-tokens begin;
+    ``together``: for strings of two characters, whether both are in one pre-token.
+
+    Neighbours of one class are one pre-token, so the code points in order fall
+    into few runs, and one of each run is tried after a letter and after a digit.
+    """
+    firsts: list[int] = []
+    for a in range(0, 0x110000, 0x4000):
+        points = [c for c in range(a, a + 0x4000) if not 0xD800 <= c < 0xE000]
+        if points:
+            firsts += [points[k] for k in starts_of("".join(map(chr, points))).tolist()]
+    firsts = sorted({*firsts, *range(0x80), *SPACES, *(c + 1 for c in SPACES)})  # ASCII and spaces one by one
+    kinds = np.full(len(firsts), OTHER, np.uint8)
+    kinds[together(["a" + chr(c) for c in firsts])] = LETTER
+    kinds[together(["1" + chr(c) for c in firsts])] = DIGIT
+    kinds[np.isin(firsts, SPACES)] = SPACE
+    return np.array(firsts, np.int64), kinds
+
+
+def spread(ranges: Ranges) -> np.ndarray:
     """Class of every code point."""
-    first = {"L": LETTER, "N": DIGIT}
-    out = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    out[SPACES] = SPACE
-    return out
+    first, kind = ranges
+    return np.repeat(kind, np.diff(first, append=0x110000))
+
+
+@functools.cache
+def library_ranges(name: str) -> Ranges:
+    """Character classes of the pre-tokenizer in the tokenizer file ``name``."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(tokenizer_path(name)).pre_tokenizer.pre_tokenize_str
+    starts = lambda text: np.array([a for _, (a, _) in split(text)], np.int64)
+    return _ranges(starts, lambda pairs: np.fromiter((len(split(x)) == 1 for x in pairs), bool, len(pairs)))
+
+
+@functools.cache
+def pattern_ranges() -> Ranges:
+    """Character classes of ``public_tokenizers.PATTERN`` as the tiktoken library reads it.
+
+    The library shows no pre-tokens, so it gets a vocabulary that merges nothing
+    but neighbours: the last byte of a character beyond ASCII with the first of
+    the next, and ``a`` or ``1`` with any byte.  A merge means one pre-token.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    tokens = [bytes([b]) for b in range(256)]
+    tokens += [bytes([last, first]) for last in range(0x80, 0xC0) for first in range(0xC2, 0xF5)]
+    tokens += [bytes([x, b]) for x in b"a1" for b in range(256)]
+    encode = tiktoken.Encoding("neighbours", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={}).encode_ordinary
+
+    def starts(text: str) -> np.ndarray:
+        ids = np.array(encode(text), np.int32)
+        joined = np.zeros(len(text.encode()), bool)  # a byte that the byte before it is merged with
+        joined[np.cumsum(1 + (ids >= 256))[ids >= 256] - 1] = True
+        lead = np.flatnonzero((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        return np.flatnonzero(~joined[lead])
+
+    return _ranges(starts, lambda pairs: np.fromiter((encode(x)[0] >= 256 for x in pairs), bool, len(pairs)))
 
 
-def cuts(data: bytes, doc_ends: np.ndarray) -> np.ndarray:
+def cuts(data: bytes, doc_ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Byte offsets at which pre-tokens of UTF-8 ``data`` begin, and its length; no pre-token
-    crosses the byte offsets in ``doc_ends`` (ascending, the last is the length)."""
+    crosses the byte offsets in ``doc_ends`` (ascending, the last is the length).
+    ``classes``: the class of every code point."""
     n_bytes = len(data)
     if not n_bytes:
         return np.zeros(1, np.int64)
@@ -52,7 +114,7 @@ def cuts(data: bytes, doc_ends: np.ndarray) -> np.ndarray:
         at[0] = 0
         np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), out=at[1:])
     n = len(code)
-    kind = _classes()[code]
+    kind = classes[code]
     ends = doc_ends if at is None else np.searchsorted(at, doc_ends)
     fresh = np.zeros(n + 1, bool)  # a text begins here
     fresh[0] = True
@@ -99,8 +161,8 @@ class Encoder:
     """Ids of texts, by ``encode(list of distinct pre-tokens) -> (number of ids of each, all ids)``;
     ``added``: literals that are never cut."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int = CACHE, added: tuple[str, ...] = ()):
-        self.encode, self.bound = encode, bound
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], ranges: Ranges, bound: int = CACHE, added: tuple[str, ...] = ()):
+        self.encode, self.bound, self.classes = encode, bound, spread(ranges)
         longest_first = sorted((x.encode() for x in added), key=len, reverse=True)
         self.added = re.compile(b"|".join(map(re.escape, longest_first))) if added else None
         self._clear()
@@ -110,10 +172,10 @@ class Encoder:
         self.size = np.zeros(1024, np.int32)
         self.begin = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.int32)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slot) > self.bound:
+        if len(self.slot) > self.bound or self.chars + 4 * self.used > CACHE_BYTES:
             self._clear()
         slot = self.slot
         new = [w for w in words if w not in slot]
@@ -130,14 +192,15 @@ class Encoder:
             self.begin[first:n] = self.used + np.cumsum(sizes) - sizes
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
+            self.chars += sum(map(len, new))
         return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
 
     def _cuts(self, data: bytes, doc_ends: np.ndarray) -> np.ndarray:
         if self.added is None or not self.added.search(data):
-            return cuts(data, doc_ends)
+            return cuts(data, doc_ends, self.classes)
         docs = zip([0, *doc_ends.tolist()], doc_ends.tolist())
         spans = np.array([m.span() for a, b in docs for m in self.added.finditer(data, a, b)], np.int64).reshape(-1, 2)
-        where = cuts(data, np.union1d(doc_ends, spans))  # on both sides the text begins anew
+        where = cuts(data, np.union1d(doc_ends, spans), self.classes)  # on both sides the text begins anew
         nth = np.searchsorted(spans[:, 0], where, side="left") - 1  # the last span that begins before
         inside = (nth >= 0) & (where < np.append(spans[:, 1], 0)[nth])
         return where[~inside]
@@ -223,8 +286,9 @@ def _by_library(tok) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
 _LIBRARY: dict[str, Encoder] = {}
 
 
-def library_encoder(name: str) -> Encoder:
-    """Encoding by the tokenizers library with the public file ``name`` (or a path), one worker process."""
+def library_encoder(name: str, ranges: Ranges | None = None) -> Encoder:
+    """Encoding by the tokenizers library with the public file ``name`` (or a path), one worker
+    process; ``ranges``: its ``library_ranges``, asked for here if not given."""
     if name not in _LIBRARY:
         import os
 
@@ -235,7 +299,7 @@ def library_encoder(name: str) -> Encoder:
         added = tok.get_added_tokens_decoder().values()
         if any(a.lstrip or a.rstrip or a.single_word for a in added):
             raise ValueError(f"{name}: added tokens that depend on what is beside them")
-        _LIBRARY[name] = Encoder(_by_library(tok), added=tuple(a.content for a in added))
+        _LIBRARY[name] = Encoder(_by_library(tok), ranges or library_ranges(name), added=tuple(a.content for a in added))
     return _LIBRARY[name]
 
 

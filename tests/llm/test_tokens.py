@@ -20,7 +20,6 @@ def library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -38,7 +37,7 @@ def tiktoken_encoding():
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=9).map("".join), min_size=1, max_size=4))
 def test_cuts_equal_the_pattern(texts):
     data = [t.encode() for t in texts]
-    where = tokens.cuts(b"".join(data), np.cumsum([len(x) for x in data]))
+    where = tokens.cuts(b"".join(data), np.cumsum([len(x) for x in data]), tokens.spread(tokens.pattern_ranges()))
     got = [b"".join(data)[a:b].decode() for a, b in zip(where, where[1:])]
     assert got == [m for t in texts for m in PATTERN.findall(t)]
 
@@ -60,6 +59,27 @@ def tiktoken_cached():
     return _CACHE[0]
 
 
+def test_every_code_point_has_the_libraries_ids():
+    """Each beside an apostrophe and its suffix, a letter, a digit and a space, against whole-text calls of the libraries."""
+    ours, theirs = tokens.library_encoder("byte_bpe_50k.json"), library()
+    own, other = bpe.load(bpe.MODEL).encoder, tiktoken_cached()
+    for a in range(0, 0x110000, 0x2000):
+        points = [chr(c) for c in range(a, a + 0x2000) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"{c}'s a{c} 1{c}" for c in points)
+        if text:
+            assert np.array_equal(np.concatenate([x for _, x, _ in ours.texts([text.encode()])]), theirs(text)), hex(a)
+            assert np.array_equal(np.concatenate([x for _, x, _ in own.texts([text.encode()])]), other.encode_ordinary(text)), hex(a)
+
+
+def test_memory_of_pre_tokens_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 500)
+    texts = [f"{'ab' * k} word{k}" for k in range(60)]
+    enc = tokens.Encoder(tokens.library_encoder("byte_bpe_50k.json").encode, tokens.library_ranges("byte_bpe_50k.json"))
+    for t in texts:
+        assert [i for _, x, _ in enc.texts([t.encode()]) for i in x.tolist()] == library()(t)
+    assert enc.chars + 4 * enc.used < 1000
+
+
 def test_long_texts_are_cut_without_effect(monkeypatch):
     monkeypatch.setattr(tokens, "SLICE", 2000)
     text = dict(edge_rows())[5]
