@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,18 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+#: Rows up to which a side is broadcast, once they are counted.
+BROADCAST_ROWS = 500_000
+#: A key is hot if it holds over one in HOT of all rows; there are fewer than HOT such keys.
+HOT = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="kinblock-")
-            spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
-        folder = _OWN_DIRS[app]
-    return folder
+    """The folder of ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``; where neither
+    is set, a temporary one, on local masters only (tests)."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[context.applicationId] = own = tempfile.mkdtemp(prefix="kinblock-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return _OWN_DIRS[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -44,6 +54,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized(table: DataFrame) -> DataFrame | None:
+    """``table`` (staged) to be broadcast if it has at most BROADCAST_ROWS rows, else as it is; None if it has none."""
+    n = table.count()
+    return None if not n else F.broadcast(table) if n <= BROADCAST_ROWS else table
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with their ``key``'s one row of ``table`` (staged), whose column ``n`` tells how many rows have it.
+
+    Hot keys would put many rows into one task; their few entries of ``table`` are broadcast instead.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    entries = table.withColumn("hot", F.col("n") * HOT > total).drop("n")
+    hot = entries.where("hot").drop("hot")
+    if hot.isEmpty():
+        return rows.join(table.drop("n"), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(entries.where("NOT hot").drop("hot"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def barrier(df: DataFrame) -> DataFrame:
     """``df``, through whose computed columns no later filter is pushed.
 

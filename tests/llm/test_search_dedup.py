@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from kinblock.llm import simhash, topk
+from kinblock.llm import common, simhash, topk
 
 from .helpers import documents, edge_rows, words
 
@@ -56,13 +56,70 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.op10(documents(spark, [])).count() == 0
 
 
-def test_one_of_each_group_stays(spark):
-    rows = near_rows()
+def near_copies(groups=40, n=120, changed=(1, 2, 4, 6)):
+    """Originals and copies of them with some words replaced."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(groups):
+        base = words(rng, n).split()
+        rows.append((1000 + 10 * g, " ".join(base)))
+        for k, m in enumerate(changed):
+            text = list(base)
+            for at in rng.sample(range(n), m):
+                text[at] = words(rng, 1)
+            rows.append((1001 + 10 * g + k, " ".join(text)))
+    return rows
+
+
+def brute_wide(rows):
+    """The row that stays for each row, by all pairs that share a block and are within the radius."""
+    bits = [simhash.wide_bits((t or "").encode()) for _, t in rows]
+    blocks = [b[simhash.CHECK :].reshape(simhash.WIDE_BLOCKS, simhash.WIDE_BITS) for b in bits]
+    near = lambda i, j: (bits[i] != bits[j])[: simhash.CHECK].sum() <= simhash.WIDE_RADIUS and (blocks[i] == blocks[j]).all(axis=1).any()
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and near(i, j):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    least = {}
+    for (d, _), k in zip(rows, label):
+        least[k] = min([x for x in (least.get(k), d) if x is not None], default=None)
+    return [least[k] for k in label]
+
+
+def test_one_of_each_group_stays(spark, monkeypatch):
+    rows = near_rows() + near_copies(6)
     docs = documents(spark, rows, clash=True)
-    kept = simhash.one_of_each(docs)
-    want = {c for d, _, c in brute_classes(rows)} - {None}
-    got = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 1
+    want = sorted({c for c in brute_wide(rows) if c is not None})
+    for most, hot in ((500_000, 500), (0, 2)):  # with and without broadcasts; with many and with few hot keys
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(common, "HOT", hot)
+        kept = simhash.one_of_each(docs)
+        got = [r.doc_id for r in kept.collect()]
+        assert kept.columns == docs.columns and sorted(x for x in got if x is not None) == want and got.count(None) == 1
+    classes = {r.doc_id: r.component_id for r in simhash.wide_classes(docs, tile=2).collect()}  # many tiles a bucket
+    assert {d: c for (d, _), c in zip(rows, brute_wide(rows)) if d is not None} == {d: c for d, c in classes.items() if d is not None}
+    assert simhash.one_of_each(documents(spark, [])).count() == 0
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    rng = random.Random(10)
+    rows = near_copies() + [(k, words(rng, rng.randint(20, 200))) for k in range(300)]
+    shingles = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    alike = [d for d, t in rows if d >= 1000 and d % 10 and len(shingles(t) & (o := shingles(dict(rows)[d - d % 10]))) >= 0.8 * len(shingles(t) | o)]
+    kept = {r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()}
+    assert set(range(300)) <= kept and {1000 + 10 * g for g in range(40)} <= kept
+    assert len(alike) > 100 and len(kept & set(alike)) <= 0.01 * len(alike)
+    assert sum(d >= 1000 and d % 10 > 0 for d in kept) <= 0.1 * 160  # four copies each, the last of Jaccard 0.74
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rng = random.Random(11)
+    a, b, c = (words(rng, 50) for _ in range(3))
+    rows = [(2, a), (5, a), (5, b), (6, c), (6, c), (7, c), (None, a), (None, c)]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(documents(spark, rows, clash=True)).collect())
+    assert kept == sorted([(2, a), (5, b), (6, c), (0, a), (0, c)])
 
 
 def test_chain_is_one_class(spark):
@@ -73,6 +130,37 @@ def test_chain_is_one_class(spark):
         assert set(roots) == set(prints) and len(set(roots.values())) == 1
 
 
+def test_components_equal_union_find(spark):
+    rng = random.Random(12)
+    order = rng.sample(range(3000), 3000)
+    edges = [(order[i], order[i + 1]) for i in range(0, 900)] + [(order[i], order[i + 1]) for i in range(1000, 1020)]
+    edges += [(order[2000], order[i]) for i in range(2001, 2500)] + [(rng.randrange(3000), rng.randrange(3000)) for _ in range(400)] + [(7, 7), (8, 9), (8, 9)]
+    up = list(range(3000))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    want = {x: top(x) for e in edges if e[0] != e[1] for x in e}
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_and_small_tiles_agree():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    x = np.unique(np.concatenate([base, *[base[:9] ^ np.uint64(1 << int(k)) for k in rng.integers(0, 64, 12)]]))
+    one, two = simhash._Gathered(), simhash._Gathered()
+    simhash._small_tiles([x], np.array([0]), np.array([len(x)]), 3, one)
+    simhash._large_tile([x], np.ones(len(x), bool), 3, two)
+    assert [c.tolist() for c in one.forest()] == [c.tolist() for c in two.forest()] and len(one.forest()[0]) > 50
+
+
 def brute_top(rows, k=10):
     ok = [(i, np.floor(1024 * np.array(v, float))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []

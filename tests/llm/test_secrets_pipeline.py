@@ -7,7 +7,7 @@ from kinblock.llm import secrets as S
 
 from .helpers import documents, edge_rows, words
 from .test_quality import brute as measures
-from .test_search_dedup import brute_classes
+from .test_search_dedup import brute_wide
 
 HEX = "4534254f83b7e27b3670756d7cab6da61ccfcea9"
 
@@ -84,7 +84,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         return n >= 10 and 100 * repeats <= 20 * n and 10 * symbols <= 3 * n and 2 * n <= chars <= 20 * n
 
     left = [(d, t) for d, t in rows if good(t) and any(c.isalpha() for c in t)]
-    left = [(d, t) for (d, t), (_, _, c) in zip(left, brute_classes(left)) if d == c]
+    left = [(d, t) for (d, t), c in zip(left, brute_wide(left)) if d == c]
     assert {901, 900, 0}.isdisjoint(d for d, _ in left) and 100 in dict(left) and 101 not in dict(left)
     tokens = 0
     for d, t in left:
