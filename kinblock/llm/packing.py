@@ -2,26 +2,38 @@
 
 Documents become ids and an end id; only documents longer than a sequence
 are cut, into full pieces with a shorter first one.  The number of pieces of
-each length (at most CAPACITY numbers) is all that the driver sees.  The
-covering program over configurations (multisets of lengths that fit one
-sequence) is solved by multiplicative weights: a length's weight falls as its
-demand is met, a knapsack dynamic program over any number of copies finds the
-configuration of largest weighted length, and a share of what the remaining
-demand allows is taken, rounded down.  The weights over the value of that
-configuration bound the sequences from below; at intervals what is left is
-placed by best fit, the best such plan is kept, and the program ends when it
-meets the bound, or after ROUNDS.
+each length (at most CAPACITY numbers) is all that the driver sees.
+
+The program covers the histogram by configurations (multisets of lengths that
+fit one sequence) at the least sum of amounts.  It is solved by multiplicative
+weights: a length's weight falls exponentially with the part of its demand
+that is covered; a knapsack dynamic program over any number of copies prices
+all configurations under these weights and yields, for each length, the best
+one that holds it; those close to the best are taken together, each at an
+amount that raises no length's covered part by more than a step.  The weights
+over the best price are a dual solution, so each step bounds the sequences
+from below; smaller steps follow until the plan is within GAP of the bound.
+The fractional plan is then rounded: whole parts of amounts first, one more of
+each configuration while its pieces last; what is left is solved anew, and in the end
+placed by best fit.  ``program`` returns the fractional value and the bound
+beside the plan.  If plain best fit of all pieces is shorter, its plan is taken.
 
 The plan lists, per length, ranges of piece ranks and the sequences they go
 to.  A piece's rank among its length is its rank within its part (counted
 while encoding) plus the pieces of that length in earlier parts, so no group
-is gathered anywhere.  A null text is empty: one piece that holds the end id.
-Repeated rows are packed one by one.
+is gathered anywhere.
+
+Defined results: a null or empty text is one piece that holds the end id; very
+long texts are encoded whole, slice by slice; repeated rows and rows with a
+null id are packed one by one; ties between configurations go to the longer
+first piece; an empty table gives no piece; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,84 +46,167 @@ from .tokens import Ranges, column_bytes, library_encoder, library_ranges
 
 CAPACITY = 1024
 END_ID = 2
-#: Share of the demand that a configuration may take at once, and rounds at that share.
-SHARE, ROUNDS = 0.25, 1500
-RATE = 1.0
-#: Steps between two completions by best fit.
-TRY_EVERY = 100
-
-
-def _knapsack(lengths: np.ndarray, profit: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index -> copies (at most ``most``) of the best-paid multiset of ``lengths`` within ``capacity``."""
-    best = np.zeros(capacity + 1)
-    steps: list[tuple[int, int, np.ndarray]] = []  # (index, copies at once, where that is better)
-    copies = np.zeros(len(lengths), int)
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
-        rest, at_once = min(int(most[i]), capacity // size), 1
-        while rest:  # 1, 2, 4, ... copies and the rest reach every number
-            at_once = min(at_once, rest)
-            other = best[: capacity + 1 - at_once * size] + at_once * profit[i]
-            better = other > best[at_once * size :]
-            best[at_once * size :][better] = other[better]
-            steps.append((i, at_once, better))
-            rest -= at_once
-            at_once *= 2
-    room = capacity
-    for i, at_once, better in reversed(steps):
-        size = at_once * int(lengths[i])
-        if room >= size and better[room - size]:
-            copies[i] += at_once
-            room -= size
-    return {int(i): int(copies[i]) for i in np.flatnonzero(copies)}
-
-
-def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(number of sequences, {length: copies}) that cover the histogram ``counts`` exactly."""
+#: Part of a demand that one step may cover: the first, and smaller ones while the gap is larger than GAP.
+STEPS, GAP = (0.1, 0.03), 0.005
+#: Fall of a weight's logarithm from nothing covered to all; configurations taken besides the best: within this part of its price.
+SLOPE, CLOSE = 3.0, 0.002
+DUAL_SLOPE = 1.0
+#: Bounds of the iterations for the plan and for the bound.
+ROUNDS, DUAL_ROUNDS = 2500, 150
+
+Plan = list[tuple[int, dict[int, int]]]
+
+
+@dataclass
+class Program:
+    """A plan [(number of sequences, {length: copies})] with the fractional program's value and lower bound."""
+
+    plan: Plan
+    value: float
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for n, _ in self.plan)
+
+
+def _priced(profit: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack over any number of copies: the best sum for every room, and a length to take there (0: none pays)."""
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    gain = profit[1:]
+    for room in range(1, capacity + 1):
+        taken = best[room - 1 :: -1] + gain[:room]
+        k = int(taken.argmax())
+        best[room] = best[room - 1]
+        if taken[k] > best[room]:
+            best[room], choice[room] = taken[k], k + 1
+    return best, choice
+
+
+def _holding(lengths: np.ndarray, choice: np.ndarray, capacity: int) -> np.ndarray:
+    """For each of ``lengths`` the best configuration that holds it: rows of lengths, falling, with zeros."""
+    down = np.maximum.accumulate(np.where(choice > 0, np.arange(capacity + 1), 0))  # the next smaller room in which a length is taken
+    parts, room = [lengths], down[capacity - lengths]
+    while room.any():
+        parts.append(choice[room])
+        room = down[room - choice[room]]
+    return np.unique(-np.sort(-np.stack(parts, axis=1), axis=1), axis=0)
+
+
+def _steps(demand: np.ndarray, value: np.ndarray, left: np.ndarray, alive: np.ndarray, capacity: int, step: float):
+    """One step under the values of lengths: its price, configurations (rows) and amounts."""
+    best, choice = _priced(value, capacity)
+    rows = _holding(alive, choice, capacity)
+    worth = np.where(rows > 0, value[rows], 0.0).sum(axis=1)
+    rows = rows[worth >= min(1 - CLOSE, worth.max() / best[capacity]) * best[capacity]]
+    use = np.bincount(rows.ravel(), minlength=capacity + 1)
+    use[0] = 0
+    may = np.where(use > 0, np.minimum(step * demand, left) / np.maximum(use, 1), np.inf)
+    return best[capacity], rows, may[rows].min(axis=1)
+
+
+def _values(lengths: np.ndarray, part: np.ndarray, of: np.ndarray, capacity: int, slope: float = SLOPE) -> np.ndarray:
+    """Values of all lengths under multiplicative weights: ``of`` those at the start, falling with the covered part."""
+    value = np.full(capacity + 1, -np.inf)
+    value[lengths] = of[lengths] * np.exp(-slope * (part - part.min()))
+    return value
+
+
+def dual(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The best values of lengths found (a dual solution, but for its scale), and the bound that they prove."""
+    some = np.flatnonzero(demand)
+    start = np.arange(capacity + 1, dtype=float)
+    cover, most, found = np.zeros(capacity + 1), 0.0, start
+    for _ in range(DUAL_ROUNDS):
+        value = _values(some, cover[some] / demand[some], start, capacity, DUAL_SLOPE)
+        price, rows, amount = _steps(demand, value, demand, some, capacity, STEPS[0])
+        if (proved := float((value[some] * demand[some]).sum()) / price) > most:
+            most, found = proved, np.where(demand > 0, value, 0.0)
+        np.add.at(cover, rows.ravel(), np.repeat(amount, rows.shape[1]))
+        cover[0] = 0
+    return found, most
+
+
+def fractional(counts: dict[int, int], capacity: int = CAPACITY, step: float = STEPS[0], start: np.ndarray | None = None) -> dict[tuple[int, ...], float]:
+    """Amounts of configurations (tuples of lengths) that cover ``counts`` exactly; ``start``: values of the lengths to begin with."""
+    demand = np.zeros(capacity + 1)
+    for length, n in counts.items():
+        demand[length] = n
+    some = np.flatnonzero(demand)
+    start = np.arange(capacity + 1, dtype=float) if start is None else start
+    left, plan = demand.copy(), {}
+    for _ in range(ROUNDS):
+        alive = some[left[some] > 0]
+        if not len(alive):
+            break
+        value = _values(alive, 1 - left[alive] / demand[alive], start, capacity)
+        _, rows, amount = _steps(demand, value, left, alive, capacity, step)
+        np.subtract.at(left, rows.ravel(), np.repeat(amount, rows.shape[1]))
+        left[0] = 0
+        left[left < 1e-9 * demand] = 0
+        for row, x in zip(rows.tolist(), amount.tolist()):
+            key = tuple(v for v in row if v)
+            plan[key] = plan.get(key, 0.0) + x
+    for length in some[left[some] > 0].tolist():  # rounds ran out
+        key = (length,) * (capacity // length)
+        plan[key] = plan.get(key, 0.0) + left[length] / len(key)
+    return plan
+
+
+def _rounded(plan: dict[tuple[int, ...], float], left: dict[int, int], full: float) -> Plan:
+    """Whole numbers of the configurations of ``plan`` that fill at least ``full``; takes their pieces from ``left``."""
+    out = []
+    ranked = sorted((k for k in plan if sum(k) >= full), key=lambda k: (-plan[k], k))
+    for more in (0, 1):  # whole parts, then one more where pieces are left
+        for key in ranked:
+            copies = Counter(key)
+            times = min(more or int(plan[key]), *(left.get(x, 0) // n for x, n in copies.items()))
+            if times > 0:
+                for x, n in copies.items():
+                    left[x] -= times * n
+                out.append((times, dict(copies)))
+    return out
+
+
+def program(counts: dict[int, int], capacity: int = CAPACITY) -> Program:
+    """The plan that covers the histogram ``counts`` exactly, never longer than best fit's."""
     whole = [(counts[capacity], {capacity: 1})] if counts.get(capacity) else []
-    plan: list[tuple[int, dict[int, int]]] = []
-    lengths = np.array(sorted(x for x, n in counts.items() if n and x < capacity), np.int64)
-    left = np.array([counts[x] for x in lengths.tolist()], np.int64)
-    demand = np.maximum(left, 1).astype(float)
-    weight = np.ones(len(lengths))
-    rest = lambda: _best_fit({int(x): int(n) for x, n in zip(lengths, left) if n}, capacity)
-    taken, filled = 0, True
-    best, used = rest(), 0  # the best ending, and how many entries of the plan go before it
-    least = sum(n for n, _ in best)
-    bound = -(-int((lengths * left).sum()) // capacity)  # on all sequences
-    for step in range(ROUNDS):
-        alive = np.flatnonzero(left > 0)
-        if not len(alive) or least <= bound:
+    left = {x: n for x, n in sorted(counts.items()) if n and x < capacity}
+    size = lambda plan: sum(n for n, _ in plan)
+    if not left:
+        return Program(whole, size(whole), size(whole))
+    demand = np.zeros(capacity + 1)
+    demand[list(left)] = list(left.values())
+    values, bound = dual(demand, capacity)
+    for step in STEPS:
+        plan = fractional(left, capacity, step, values)
+        if (value := sum(plan.values())) <= (1 + GAP) * bound:
+            break
+    least = int(np.ceil(bound * (1 - 1e-9)))
+    done: Plan = []
+    best = _best_fit(left, capacity)
+    for full in (1.0, 1.0, 1.0, 0.99):  # first configurations that waste nothing
+        if size(best) <= least:
+            break
+        taken = _rounded(plan, left, full * capacity)
+        done = done + taken
+        left = {x: n for x, n in left.items() if n}
+        ending = done + _best_fit(left, capacity)
+        if size(ending) < size(best):
+            best = ending
+        if not left:
             break
-        profit = lengths[alive] * weight[alive]
-        pick = _knapsack(lengths[alive], profit, left[alive], capacity)
-        rows = alive[list(pick)]
-        copies = np.array(list(pick.values()))
-        lower = float((profit * left[alive]).sum() / (lengths[rows] * weight[rows] * copies).sum())
-        lower = int(np.ceil(lower * (1 - 1e-9)))  # on the sequences of what is left
-        if not step:
-            bound = max(bound, lower)
-        was_filled, filled = filled, filled and int((lengths[rows] * copies).sum()) >= capacity - capacity // 256
-        if step and (step % TRY_EVERY == 0 or was_filled and not filled):
-            ending = rest()
-            number = taken + sum(n for n, _ in ending)
-            if number < least:
-                best, least, used = ending, number, len(plan)
-            if number <= taken + lower:
-                break  # no other ending is shorter
-        times = int((left[rows] // copies).min())
-        times = max(1, int(times * SHARE)) if times > 3 else times
-        left[rows] -= times * copies
-        taken += times
-        weight[rows] *= np.exp(-RATE * times * copies / demand[rows])
-        plan.append((times, dict(zip(lengths[rows].tolist(), copies.tolist()))))
-    ending = rest()
-    if taken + sum(n for n, _ in ending) < least:
-        best, used = ending, len(plan)
-    return whole + plan[:used] + best
-
-
-def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+        if taken:
+            plan = fractional(left, capacity, start=values)
+    return Program(whole + best, size(whole) + value, size(whole) + least)
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """(number of sequences, {length: copies}) that cover the histogram ``counts`` exactly."""
+    return program(counts, capacity).plan
+
+
+def _best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing over a histogram: sequences with the same gap and content stay one entry."""
     open_: dict[int, list[list]] = {}  # room -> entries [number, content]
     for length in sorted(counts, reverse=True):
@@ -143,7 +238,7 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int
     return [(number, content) for stack in open_.values() for number, content in stack]
 
 
-def slots(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
+def slots(plan: Plan) -> dict[int, np.ndarray]:
     """Per length, rows (first rank, first sequence, copies in a sequence, offset of the first copy)."""
     out: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks: dict[int, int] = {}

@@ -195,12 +195,49 @@ def test_plan_places_every_piece(counts):
     assert sum(n for n, _ in plan) <= len(bins) * 1.03 + 2
 
 
+def best_fit(counts):
+    return sum(n for n, _ in packing._best_fit(counts, 1024))
+
+
 def test_plan_takes_any_number_of_copies():
-    plan = packing.configurations({424: 100, 200: 300})
-    assert sum(n for n, _ in plan) == 100  # all are {424, 200, 200, 200}
+    out = packing.program({424: 100, 200: 300})
+    assert out.sequences == out.bound == 100  # all are {424, 200, 200, 200}
     counts = {x: 200 for x in range(300, 400)}
-    plan = packing.configurations(counts)
-    assert sum(n for n, _ in plan) < 0.98 * sum(n for n, _ in packing._best_fit(counts, 1024))
+    assert packing.program(counts).sequences < 0.95 * best_fit(counts)
+
+
+@pytest.mark.parametrize("counts", [{x: 1 + x % 7 for x in range(1, 1025)}, {x: 50 for x in range(20, 900, 13)}, {600: 1000, 300: 100, 100: 50, 30: 2000}, {1: 5}, {1023: 7, 1: 3}, {1024: 2}])
+def test_program_covers_and_is_bounded(counts):
+    demand = {x: n for x, n in counts.items() if x < 1024}
+    if demand:
+        plan = packing.fractional(demand)
+        cover = dict.fromkeys(demand, 0.0)
+        for key, x in plan.items():
+            assert sum(key) <= 1024 and x > 0
+            for length in key:
+                cover[length] += x
+        assert cover == pytest.approx(demand)
+    out = packing.program(counts)
+    least = -(-sum(x * n for x, n in counts.items()) // 1024)
+    assert least * 0.999 <= out.bound <= out.value + 1 and out.bound <= out.sequences <= best_fit(counts)
+    assert out.value <= 1.05 * out.bound + 1
+
+
+def test_bound_is_of_any_covering():
+    """By brute force over all configurations of a small case: no covering is below the bound."""
+    from itertools import combinations_with_replacement
+
+    counts = {3: 4, 4: 3, 5: 2}
+    ways = [c for k in (1, 2, 3) for c in combinations_with_replacement(counts, k) if sum(c) <= 10]
+
+    def least(left, n=0):
+        if not any(left.values()):
+            return n
+        first = next(x for x in left if left[x])
+        return min(least({x: max(0, m - c.count(x)) for x, m in left.items()}, n + 1) for c in ways if first in c)
+
+    out = packing.program(counts, 10)
+    assert out.bound <= least(counts) <= out.sequences <= least(counts) + 1
 
 
 def test_added_tokens_are_matched(spark):
