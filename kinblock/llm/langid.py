@@ -3,18 +3,28 @@
 Features are relative frequencies of hashed byte trigrams of the whole text
 (A-Z lower-cased, digits and ASCII punctuation folded).  A first set of
 one-versus-one linear support vector machines tells language families apart;
-within a family, one-versus-one machines separate its languages.  Training
-takes a bounded sample of labelled rows: PER_LANGUAGE rows a language,
-MAX_ROWS in all, chosen by hash; only their sparse features reach the driver.
-
-A null text, or one without any letter, is ``und`` with score 0; so is every
-text if there is nothing to learn from.  The score is the product of the
-logistic margins of the two deciding steps, from 0 to 1.  Repeated rows are
-predicted one by one.
+within a family, one-versus-one machines separate its languages.  A language
+that FAMILIES does not list belongs to a family of unlisted ones that are
+like it; families above FAMILY_MOST languages are halved along the principal
+axis of their means, so the number of machines stays bounded.
+
+Training takes a bounded sample of labelled rows, chosen by hash: of the
+MAX_LANGUAGES languages with the most labelled rows (ties: by name) at most
+PER_LANGUAGE rows each and MAX_ROWS in all, at least two each where the table
+has them; only their sparse features reach the driver.
+
+Defined results: a null text, or one without any letter, is ``und`` with score
+0; so is every text if there is nothing to learn from.  The score is the
+product of the logistic margins of the two deciding steps, from 0 to 1; ties of votes
+go to the larger sum of margins, then to the name that sorts first.  Very long
+texts are read whole, in chunks; repeated rows, and rows with a null id (which
+are never held out), are predicted one by one; an empty table gives an empty
+result; other columns are not read (``op2``) or passed through (``keep_identified``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -27,14 +37,18 @@ from pyspark.sql import functions as F
 
 from .tokens import column_bytes
 
-#: Bound on the labelled rows that are learned from.
-PER_LANGUAGE, MAX_ROWS = 300, 1500
+#: Bounds on the labelled rows that are learned from.
+PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 300, 1500, 128
+#: Languages of a family, at most.
+FAMILY_MOST = 12
 BUCKETS = 1 << 13
 SLICE = 1 << 20
 #: Logistic slope of a margin.
 SLOPE = 4.0
 UND = "und"
-#: Families of ISO 639-1 codes; a language that is not listed is a family of its own.
+#: The stage keeps documents with at least this score (see the README for what it costs).
+MIN_SCORE = 0.5
+#: Families of ISO 639-1 codes.
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb",
     "romance": "fr es it pt ro ca gl oc",
@@ -96,9 +110,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 40, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM (hinge loss) by dual coordinate descent on the Gram matrix."""
-    gram = (x @ x.T).astype(np.float64) + 1.0  # the bias is one more constant feature
+def train_svm(gram: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 40, seed: int = 7) -> np.ndarray:
+    """Signed dual coefficients of a linear SVM (hinge loss) by coordinate descent on the Gram matrix, whose
+    constant term is the bias: weights are their combination of the rows, the bias is their sum."""
     n, rng = len(y), np.random.default_rng(seed)
     upper = np.where(y > 0, cost * n / (2 * max(1, (y > 0).sum())), cost * n / (2 * max(1, (y < 0).sum())))
     alpha, out = np.zeros(n), np.zeros(n)
@@ -108,7 +122,26 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 40
             if new != alpha[i]:
                 out += (new - alpha[i]) * y[i] * gram[i]
                 alpha[i] = new
-    return x.T @ (alpha * y), float((alpha * y).sum())
+    return alpha * y
+
+
+def _halved(members: list[str], mean: dict[str, np.ndarray]) -> list[list[str]]:
+    """``members`` in groups of at most FAMILY_MOST, halved along the principal axis of their means."""
+    if len(members) <= FAMILY_MOST:
+        return [members]
+    x = np.stack([mean[m] for m in members])
+    axis = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[0][:, 0]
+    order = np.argsort(axis, kind="stable")
+    half = [sorted(members[k] for k in part.tolist()) for part in np.array_split(order, 2)]
+    return [g for h in half for g in _halved(h, mean)]
+
+
+def families_of(known: list[str], mean: dict[str, np.ndarray]) -> dict[str, list[str]]:
+    """Family -> its languages."""
+    groups: dict[str, list[str]] = {}
+    for lang in known:
+        groups.setdefault(FAMILY_OF.get(lang, "unlisted"), []).append(lang)
+    return {name if not k else f"{name} {k + 1}": part for name in sorted(groups) for k, part in enumerate(_halved(groups[name], mean))}
 
 
 @dataclass
@@ -153,37 +186,48 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model | None:
     """A model of the non-null languages of ``labelled`` (doc_id, text, lang); None if there are none.
 
-    At most about ``per_language`` rows a language and ``max_rows`` rows are learned from.
+    At most ``per_language`` rows a language and ``max_rows`` rows are learned from.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(10_000).collect()}
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = {r[0]: r[1] for r in top.collect()}
     if not counts:
         return None
     each = max(2, min(per_language, max_rows // len(counts)))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
+    drawn = each + 4 * math.isqrt(each) + 8  # so that chance leaves no language below its share
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, drawn / n)))])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(chance < share[F.col("lang")]).select("lang", "text").limit(2 * max_rows + 2 * len(counts))
+    taken = rows.where(chance < share[F.col("lang")]).select("lang", "text").limit(2 * drawn * len(counts))
     sample = taken.mapInArrow(_features, "lang string, idx array<int>, val array<float>").toArrow()
+    order = np.lexsort((np.arange(sample.num_rows), np.array(sample.column("lang").to_pylist(), str)))
+    by_lang = np.array(sample.column("lang").to_pylist(), object)[order]
+    nth = np.arange(len(order)) - np.searchsorted(by_lang.astype(str), by_lang.astype(str))
+    sample = sample.take(pa.array(order[nth < each]))
     langs = sample.column("lang").to_pylist()
     x = np.zeros((len(langs), BUCKETS), np.float32)
-    for r, (i, v) in enumerate(zip(sample.column("idx").to_pylist(), sample.column("val").to_pylist())):
-        x[r, i] = v
+    for r, (i, v) in enumerate(zip(sample.column("idx"), sample.column("val"))):
+        x[r, i.values.to_numpy()] = v.values.to_numpy()
     # rare and frequent trigrams on one scale: what matters is how far a frequency is from the mean
     scale = 1.0 / np.sqrt(x.mean(axis=0) + 1e-6)
     x *= scale
     known = sorted(set(langs))
-    family = [FAMILY_OF.get(lang, lang) for lang in known]
-    families = sorted(set(family))
-    languages = {f: [lang for lang, g in zip(known, family) if g == f] for f in families}
     y = np.array([known.index(lang) for lang in langs])
-    g = np.array([families.index(family[k]) for k in y])
-    columns: list[tuple[np.ndarray, float]] = []
+    languages = families_of(known, {lang: x[y == k].mean(axis=0) for k, lang in enumerate(known)})
+    families = list(languages)
+    family = {lang: f for f, name in enumerate(families) for lang in languages[name]}
+    g = np.array([family[lang] for lang in langs])
+    gram = (x @ x.T).astype(np.float64) + 1.0  # the bias is one more constant feature
+    columns: list[np.ndarray] = []
+    biases: list[float] = []
 
     def machines(label: np.ndarray, n: int) -> list[tuple[int, int, int]]:
         out = []
         for a, b in combinations(range(n), 2):
             at = np.flatnonzero((label == a) | (label == b))
-            columns.append(train_svm(x[at], np.where(label[at] == a, 1.0, -1.0)))
+            of_row = np.zeros(len(label), np.float32)
+            of_row[at] = train_svm(gram[np.ix_(at, at)], np.where(label[at] == a, 1.0, -1.0))
+            columns.append((of_row @ x) * scale)
+            biases.append(float(of_row.sum(dtype=np.float64)))
             out.append((a, b, len(columns) - 1))
         return out
 
@@ -193,9 +237,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = M
         own = {known.index(lang): k for k, lang in enumerate(languages[name])}
         inner[name] = machines(np.array([own.get(k, -1) if h == f else -1 for k, h in zip(y.tolist(), g.tolist())]), len(own))
     weights = np.zeros((BUCKETS + 1, max(1, len(columns))), np.float32)
-    for k, (w, _) in enumerate(columns):
-        weights[:BUCKETS, k] = w * scale
-    return Model(families, languages, weights, np.array([b for _, b in columns] or [0.0]), upper, inner)
+    for k, w in enumerate(columns):
+        weights[:BUCKETS, k] = w
+    return Model(families, languages, weights, np.array(biases or [0.0]), upper, inner)
 
 
 def judge(model: Model | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
@@ -232,8 +276,13 @@ def _predicted(shared):
 def _kept(shared, at: int, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = judge(shared.value, column_bytes(batch.column(at)))
-            yield batch.filter(pa.array([x != UND and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
+            texts = column_bytes(batch.column(at))
+            if shared.value is None:
+                good = [bool(LETTER.search(t.decode())) for t in texts]
+            else:
+                lang, score = judge(shared.value, texts)
+                good = [x != UND and s >= min_score for x, s in zip(lang, score)]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -258,8 +307,9 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` in a learned language with at least ``min_score``, with their own columns."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` in a learned language with at least ``min_score``, with their own columns;
+    those with a letter if there is nothing to learn from."""
     at = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
     return docs.mapInArrow(_kept(_model(docs), at, min_score), docs.schema)
 

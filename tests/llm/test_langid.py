@@ -51,5 +51,55 @@ def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)
     y = np.where(x[:, 0] > 0, 1.0, -1.0)
-    w, b = L.train_svm(x, y)
-    assert ((x @ w + b > 0) == (y > 0)).mean() > 0.97
+    c = L.train_svm((x @ x.T).astype(float) + 1.0, y)
+    assert ((x @ (x.T @ c) + c.sum() > 0) == (y > 0)).mean() > 0.97
+
+
+def test_features_and_votes_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = [t for _, t, _ in corpus(30)] + ["", "a", "ab", "Aé 1!", "x" * 3000]
+
+    def bucket(three):
+        fold = [ord(" ") if c < 0x80 and not chr(c).isalnum() else ord("0") if chr(c).isdigit() and c < 0x80 else ord(chr(c).lower()) if c < 0x80 else c for c in three]
+        return None if fold[:2] == [32, 32] else ((fold[0] | fold[1] << 8 | fold[2] << 16) * 2654435761 % 2**32) >> 19
+
+    weights = np.array([[rng.uniform(-1, 1) for _ in range(4)] for _ in range(L.BUCKETS)] + [[0.0] * 4], np.float32)
+    model = L.Model(["f", "g"], {"f": ["a", "b", "c"], "g": ["d"]}, weights, np.array([0.01, -0.02, 0.0, 0.03]), [(0, 1, 0)], {"f": [(0, 1, 1), (0, 2, 2), (1, 2, 3)], "g": []})
+    got = L.judge(model, [t.encode() for t in texts])
+    for t, lang, score in zip(texts, *got):
+        data = t.encode() + b" "
+        found = [b for i in range(len(data) - 2) if (b := bucket(data[i : i + 3])) is not None]
+        if not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        m = [sum(float(weights[b, k]) for b in found) / max(1, len(found)) + float(model.bias[k]) for k in range(4)]
+        sure = lambda v: 1 / (1 + np.exp(-L.SLOPE * v))
+        if m[0] < 0:
+            want = ("d", sure(-m[0]))
+        else:
+            votes = {"a": (m[1] >= 0) + (m[2] >= 0), "b": (m[1] < 0) + (m[3] >= 0), "c": (m[2] < 0) + (m[3] < 0)}
+            if len(set(votes.values())) == 1:
+                continue  # a circle: the sum of margins decides
+            best = max(votes, key=votes.get)
+            least = {"a": min(m[1], m[2]), "b": min(-m[1], m[3]), "c": min(-m[2], -m[3])}[best]
+            want = (best, sure(m[0]) * sure(least))
+        assert lang == want[0] and abs(score - want[1]) < 1e-4, t
+
+
+def test_rare_languages_are_learned_and_machines_bounded(spark):
+    rng = random.Random(6)
+    rows, names = [], [f"q{k}" for k in range(30)]  # none is listed
+    for k, name in enumerate(names):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)]
+        for i in range(400 if k < 3 else 8):
+            rows.append((len(rows), " ".join(rng.choice(own) for _ in range(30)), name))
+    model = L.fit(documents(spark, rows))
+    assert sorted(x for part in model.languages.values() for x in part) == sorted(names)
+    assert max(map(len, model.languages.values())) <= L.FAMILY_MOST and model.weights.shape[1] <= 3 + 4 * 66
+    got = L.identify(documents(spark, rows)).collect()
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out]) > 0.95
+
+
+def test_stage_without_labels_keeps_texts_with_letters(spark):
+    docs = documents(spark, [(1, "some text", None), (2, "12 !", None), (3, None, None)])
+    assert [r.doc_id for r in L.keep_identified(docs).collect()] == [1]
