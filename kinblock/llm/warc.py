@@ -1,20 +1,25 @@
 """WARC archives of pages through a chunked record table.
 
-A payload longer than CHUNK becomes rows (record id, chunk number), written as
-WARC/1.1 segments (a first record and continuation records); each row carries
-the SHA-1 of the payload so far, so neither writer nor reader ever needs a
-whole record beyond the page row it came from.  The reader walks each archive
-as a byte stream, checks every carried digest, and recomputes the payload's.
-
-Archives are gzip text files whose rows are records and whose row separator
-is the CR LF CR LF that ends a WARC record; payload bytes are free to hold the
-separator, for the reader counts bytes by Content-Length.
+A payload is cut, by DataFrame functions, into rows (record id, chunk number)
+of at most CHUNK bytes; a task streams them in order, carries the SHA-1 of the
+payload so far from row to row, and turns each into a WARC/1.1 segment (a
+first record and continuation records) that states it.  So beyond the page
+row it came from, neither writer nor reader ever needs a whole record.  The
+reader walks each archive as a byte stream, checks every carried digest, and
+recomputes the payload's.
+
+Archives are gzip text files, one a task, whose rows are segments and whose
+row separator is the CR LF CR LF that ends a WARC record; payload bytes are
+free to hold the separator, for the reader counts bytes by Content-Length.
+Files end where tasks end, never within a record.
 
 Of equal payloads of at least ``revisit_from`` bytes the smallest page_id is
 ``response`` and the others are ``revisit`` records that refer to it (rows
-repeated with that page_id are responses too).  A null html is an empty
-payload; a null page_id is written as an empty id, takes part as the largest,
-and reads back as null.
+repeated with that page_id are responses too).
+
+Defined results: a null html is an empty payload; a null page_id is written as
+an empty id, takes part as the largest, and reads back as null; repeated rows
+are one record each; an empty table gives no record; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged
+from .common import fresh_path, sized, staged
 
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
-#: File settings: one gzip stream a file, cut into files of bounded records.
-MAX_RECORDS = 200_000
 
 
 def _b32(sha: "hashlib._Hash") -> str:
@@ -49,50 +52,68 @@ def _header(fields: list[tuple[str, object]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> Iterator[bytes]:
-    """The WARC records (without the final separator) of one page, one per chunk."""
+def segment(page_id: int | None, url: str | None, chunk: int, chunks: int, length: int, data: bytes, so_far: str) -> bytes:
+    """The WARC segment (without the final separator) of one chunk of a payload of ``length`` bytes."""
     own = "" if page_id is None else page_id
-    common = [("WARC-Record-ID", f"<urn:page:{own}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _safe(url))]
-    if is_revisit:
-        yield _header(
-            [("WARC-Type", "revisit"), *common, ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"),
-             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", len(payload)), ("Content-Length", 0)]
-        )
-        return
-    view, sha, n = memoryview(payload), hashlib.sha1(), max(1, -(-len(payload) // CHUNK))
-    for k in range(n):
-        part = view[k * CHUNK : (k + 1) * CHUNK]
-        sha.update(part)
-        kind = [("WARC-Type", "response"), *common] if k == 0 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{own}:{k + 1}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", f"<urn:page:{own}>")]
-        segment = [("WARC-Segment-Number", k + 1)] if n > 1 else []
-        last = [("WARC-Segment-Total-Length", len(payload))] if n > 1 and k == n - 1 else []
-        yield _header([*kind, *segment, *last, ("X-Digest-So-Far", f"sha1:{_b32(sha)}"), ("Content-Type", "text/html"), ("Content-Length", len(part))]) + bytes(part)
-
-
-def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if chunk == 0:
+        fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{own}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _safe(url))]
+    else:
+        fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{own}:{chunk + 1}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", f"<urn:page:{own}>")]
+    if chunks > 1:
+        fields.append(("WARC-Segment-Number", chunk + 1))
+        if chunk == chunks - 1:
+            fields.append(("WARC-Segment-Total-Length", length))
+    return _header([*fields, ("X-Digest-So-Far", f"sha1:{so_far}"), ("Content-Type", "text/html"), ("Content-Length", len(data))]) + data
+
+
+def revisit(page_id: int | None, url: str | None, length: int, digest: str, refers_to: int) -> bytes:
+    own = "" if page_id is None else page_id
+    return _header(
+        [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:page:{own}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _safe(url)),
+         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"),
+         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", length), ("Content-Length", 0)]
+    )
+
+
+RECORDS = "record_id long, chunk int, digest_so_far string, value binary"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of RECORDS from rows page_id, url, sha, length, first, revisit, chunk, chunks, data; the chunks of a record in order."""
+    sha = hashlib.sha1()
     for batch in batches:
-        out: list[bytes] = []
+        out: list[tuple] = []
         size = 0
-        ids, urls, pays, hexes, firsts, revisits = batch.columns
-        for i in range(len(batch)):
-            payload = pays[i].as_buffer() if pays[i].is_valid else b""
-            digest = base64.b32encode(bytes.fromhex(hexes[i].as_py())).decode()
-            for r in records(ids[i].as_py(), urls[i].as_py(), payload, digest, firsts[i].as_py(), revisits[i].as_py()):
-                out.append(r)
-                size += len(r)
-                if size > 4 * CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out, size = [], 0
+        *columns, data = batch.columns
+        for i, (page_id, url, hexed, length, first, again, chunk, chunks) in enumerate(zip(*(c.to_pylist() for c in columns))):
+            if again:
+                digest = base64.b32encode(bytes.fromhex(hexed)).decode()
+                out.append((page_id, 0, digest, revisit(page_id, url, length, digest, first)))
+            else:
+                part = data[i].as_buffer().to_pybytes()
+                sha = hashlib.sha1() if chunk == 0 else sha
+                sha.update(part)
+                out.append((page_id, chunk, _b32(sha), segment(page_id, url, chunk, chunks, length, part, _b32(sha))))
+            size += len(out[-1][-1])
+            if size > 4 * CHUNK:
+                yield _table(out)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            yield _table(out)
+
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["record_id", "chunk", "digest_so_far", "value"])
 
-def write(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
-    """Write archives of ``pages`` (page_id, url, html) below ``path``.
+
+def records(pages: DataFrame, revisit_from: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """The chunked record table of ``pages`` (page_id, url, html): RECORDS, in the order in which it has to be written.
 
     Only digests are grouped: hash and smallest page_id, combined before the
-    shuffle.  Payloads move once, to meet the decision of their digest; a hot
-    digest's rows are split by the adaptive skew join.
+    shuffle.  What is decided, which rows revisit which page, is broadcast up to
+    a checked number of rows; beyond it payloads move once to meet the decision,
+    and a hot digest's rows are split by the adaptive skew join.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
@@ -100,11 +121,25 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     groups = marks.where(F.col("n") >= revisit_from).groupBy("sha").agg(F.count("*").alias("k"), F.min("page_id").alias("first"))
     shared = groups.where("k > 1").select("sha", "first")  # payloads seen once need no decision
     again = marks.join(shared, "sha").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first").distinct()
-    decided = rows.join(again, [rows.sha == again.sha, rows.page_id.eqNullSafe(again.page_id)], "left").select(
-        rows.page_id, "url", "payload", rows.sha, "first", again.sha.isNotNull().alias("revisit")
-    )
-    lines = decided.mapInArrow(_written, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.options(lineSep=END.decode(), compression="gzip", maxRecordsPerFile=MAX_RECORDS).text(path)
+    again = sized(staged(again, "revisits"))
+    if again is None:
+        decided = rows.select("page_id", "url", "payload", "sha", F.lit(None).cast("long").alias("first"), F.lit(False).alias("revisit"))
+    else:
+        decided = rows.join(again, [rows.sha == again.sha, rows.page_id.eqNullSafe(again.page_id)], "left").select(
+            rows.page_id, "url", "payload", rows.sha, "first", again.sha.isNotNull().alias("revisit")
+        )
+    length = F.length("payload")
+    chunks = F.when(F.col("revisit"), 1).otherwise(F.greatest(F.ceil(length / chunk), F.lit(1))).cast("int")
+    dealt = decided.select("page_id", "url", "payload", "sha", "first", "revisit", chunks.alias("chunks"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    data = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk)))
+    table = dealt.select("page_id", "url", "sha", length.cast("long").alias("length"), "first", "revisit", "chunk", "chunks", data.alias("data"))
+    return table.mapInArrow(_segments, RECORDS)
+
+
+def write(pages: DataFrame, path: str, revisit_from: int = 0, chunk: int = CHUNK) -> None:
+    """Write archives of ``pages`` (page_id, url, html) below ``path``."""
+    lines = records(pages, revisit_from, chunk).select(F.col("value").cast("string").alias("value"))
+    lines.write.options(lineSep=END.decode(), compression="gzip").option("maxRecordsPerFile", 0).text(path)
 
 
 def _page(text: str) -> int | None:

@@ -54,7 +54,8 @@ def test_archives_are_warc(spark, tmp_path):
 def test_damage_is_found(spark, tmp_path):
     path = tmp_path / "w"
     path.mkdir()
-    record = next(warc.records(1, "u", b"payload", "", None, False)).replace(b"payload", b"paYload")
+    sha = base64.b32encode(hashlib.sha1(b"payload").digest()).decode()
+    record = warc.segment(1, "u", 0, 1, 7, b"payload", sha).replace(b"payload", b"paYload")
     (path / "a.txt.gz").write_bytes(gzip.compress(record + warc.END))
     try:
         warc.read(spark, str(path)).collect()
@@ -62,3 +63,22 @@ def test_damage_is_found(spark, tmp_path):
         assert "damaged" in str(e)
     else:
         raise AssertionError("damage went unnoticed")
+
+
+def test_records_are_chunk_rows(spark):
+    """Rows (record, chunk) with the digest so far, in order; small chunks, so that records cross many batches and files."""
+    text = "0123456789é" * 50
+    pages = spark.createDataFrame([(k, "u", text + str(k)) for k in range(40)] + [(99, "u", text + "7")], SCHEMA)
+    rows = warc.records(pages.coalesce(1), chunk=100).collect()
+    own = [r for r in rows if r.record_id == 7]
+    data = (text + "7").encode()
+    assert [r.chunk for r in own] == list(range(-(-len(data) // 100)))
+    assert [r.digest_so_far for r in own] == [base64.b32encode(hashlib.sha1(data[: 100 * (k + 1)]).digest()).decode() for k in range(len(own))]
+    assert [(r.record_id, r.chunk) for r in rows if r.record_id == 99] == [(99, 0)]
+
+
+def test_small_chunks_round_trip(spark, tmp_path):
+    rows = [(k, "u", ("é漢\r\n\r\nx" * (k % 90))) for k in range(400)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    warc.write(pages, str(tmp_path / "w"), chunk=64)
+    assert sorted(map(key, warc.read(spark, str(tmp_path / "w")).collect())) == sorted(map(key, brute(rows)))
