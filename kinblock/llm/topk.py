@@ -1,17 +1,24 @@
 """Exact top-k search by inner product, in tiles.
 
-Vectors become integers floor(scale * x), x as double.  Candidates are packed
-into shards and queries into tiles, as bytes; every query tile meets every
-shard, one matrix product per meeting.  A meeting keeps the k best of each
-query, and the lists are merged level by level over a tree of shard groups.
+Vectors become integers floor(scale * x), x as double.  They are packed into
+shards, as bytes, once; the queries among them are picked from the shards and
+packed into tiles.  Shards and tiles are dealt on a grid of about as many cells
+as there are tasks, rows and columns chosen so that the fewest bytes are copied: every
+query tile meets every shard in one cell, by one matrix product.  A meeting
+keeps the k best of each query, and the lists are merged level by level over a
+tree of grid columns.
 
 Products run in double precision where the largest possible sum is below
 2**53, hence exact, else in 64-bit integers, else in Python integers (a score
-outside 64 bits is brought to the nearest of them).  Vectors that are null,
-empty or hold a null or non-finite component take no part; vectors of
-different lengths are compared as if the shorter went on with zeros.  A query
-never meets its own vec_id.  Ties go to the smaller vec_id; rows with a null
-id take no part.
+outside 64 bits is brought to the nearest of them).
+
+Defined results: vectors that are null or hold a null or non-finite component
+take no part, nor do rows with a null id; an empty vector scores 0; vectors of
+different lengths are compared as if the shorter went on with zeros; a query
+meets every row but its own, also others of the same vec_id; each of several
+query rows with one vec_id has its own list; ties go to the smaller vec_id;
+fewer than k other rows give a shorter list; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,39 +36,81 @@ SHARD = 4096
 TILE = 512
 SCALE = 1024.0
 FAN = 16
+#: Grid cells a task slot.
+CELLS = 4
 LIMIT = 2**63 - 1
 
 
-def _packed(rows: int, scale: float):
+def _block(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows of ``sizes`` values each as a matrix, shorter rows filled with zeros."""
+    dim = int(sizes.max(initial=0))
+    if (sizes == dim).all():
+        return values.reshape(len(sizes), dim)
+    out = np.zeros((len(sizes), dim))
+    out[np.arange(dim)[None, :] < sizes[:, None]] = values
+    return out
+
+
+def _packed(scale: float):
+    """Shards: n, dim, row numbers, ids, components and query flags as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = batch.column(1)
-            sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            flat = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            flat = np.floor(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            out: dict[str, list] = {"n": [], "dim": [], "ids": [], "data": []}
-            for k in range(0, len(ids), rows):
-                part = sizes[k : k + rows]
-                dim = int(part.max())
-                if (part == dim).all():
-                    block = flat[offsets[k] : offsets[k + len(part)]]
-                else:
-                    block = np.zeros((len(part), dim))
-                    for i, m in enumerate(part.tolist()):
-                        block[i, :m] = flat[offsets[k + i] : offsets[k + i + 1]]
-                out["n"].append(len(part))
-                out["dim"].append(dim)
-                out["ids"].append(np.ascontiguousarray(ids[k : k + rows], np.int64).tobytes())
-                out["data"].append(np.ascontiguousarray(block).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["n"], pa.int32()), pa.array(out["dim"], pa.int32()), pa.array(out["ids"], pa.binary()), pa.array(out["data"], pa.binary())],
-                names=["n", "dim", "ids", "data"],
-            )
+            for k in range(0, len(ids), SHARD):
+                end = min(k + SHARD, len(ids))
+                block = _block(flat[offsets[k] : offsets[end]], sizes[k:end])
+                rows = np.arange(row, row + end - k, dtype=np.int64)
+                row += end - k
+                cells = [end - k, block.shape[1], rows.tobytes(), ids[k:end].tobytes(), np.ascontiguousarray(block).tobytes(), flags[k:end].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, SHARD_TYPES)], names=SHARD_NAMES)
 
     return run
 
 
+SHARD_NAMES = ["n", "dim", "rows", "ids", "data", "flags"]
+SHARD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per query of the shards: row number, id and components."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            at = np.flatnonzero(np.frombuffer(r["flags"], np.uint8))
+            block = np.frombuffer(r["data"]).reshape(r["n"], r["dim"])[at]
+            rows, ids = np.frombuffer(r["rows"], np.int64)[at], np.frombuffer(r["ids"], np.int64)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ids), pa.array([x.tobytes() for x in block], pa.binary())], names=["row", "id", "data"])
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), TILE):
+            part = batch.slice(k, TILE)
+            data = part.column(2).to_pylist()
+            sizes = np.array([len(x) // 8 for x in data])
+            block = _block(np.frombuffer(b"".join(data)), sizes)
+            cells = [len(part), block.shape[1], part.column(0).to_numpy().tobytes(), part.column(1).to_numpy().tobytes(), np.ascontiguousarray(block).tobytes()]
+            names = ["q_n", "q_dim", "q_rows", "q_ids", "q_data"]
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, SHARD_TYPES)], names=names)
+
+
+def grid(tiles: int, shards: int, cells: int, tile_cost: float = 1.0, shard_cost: float = 1.0) -> tuple[int, int]:
+    """Rows (of tiles) and columns (of shards) of a grid with at most ``cells`` cells that copies the fewest bytes:
+    each tile goes to all columns, each shard to all rows."""
+    best = min(
+        ((min(tiles, r), min(shards, max(1, cells // r))) for r in range(1, max(1, min(tiles, cells)) + 1)),
+        key=lambda g: (-min(g[0] * g[1], cells // 2), tiles * tile_cost * g[1] + shards * shard_cost * g[0], g),
+    )
+    return max(1, best[0]), max(1, best[1])
+
+
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of ``q`` and ``c`` (whole-valued doubles)."""
     dim = max(q.shape[1], c.shape[1])
@@ -76,25 +125,27 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _best(k: int):
+    """The k best of each query of a tile in a shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q_rows, rows, qi, ci = (np.frombuffer(r[x], np.int64) for x in ("q_rows", "rows", "q_ids", "ids"))
                 q = np.frombuffer(r["q_data"]).reshape(len(qi), r["q_dim"])
                 c = np.frombuffer(r["data"]).reshape(len(ci), r["dim"])
                 order = np.argsort(ci, kind="stable")
-                ci, score = ci[order], _scores(q, c[order])
-                rows: list[np.ndarray] = []
+                ci, rows, score = ci[order], rows[order], _scores(q, c[order])
+                out: list[np.ndarray] = []
                 for i in range(len(qi)):
                     s = score[i]
-                    ok = np.flatnonzero(ci != qi[i])
+                    ok = np.flatnonzero(rows != q_rows[i])
                     if len(ok) > k:  # all that reach the k-th score, then ties by id, which is the column order
                         t = s[ok]
                         ok = ok[t >= np.partition(t, len(t) - k)[len(t) - k]]
                         ok = ok[np.argsort(-s[ok].astype(object) if s[ok].min() == -LIMIT - 1 else -s[ok], kind="stable")[:k]]
-                    rows.append(np.stack([np.full(len(ok), qi[i]), ci[ok], s[ok], np.full(len(ok), r["g"])]))
-                x = np.concatenate(rows, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["query_id", "vec_id", "score", "node"])
+                    out.append(np.stack([np.full(len(ok), q_rows[i]), np.full(len(ok), qi[i]), ci[ok], s[ok], np.full(len(ok), r["col"])]))
+                x = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["q_row", "query_id", "vec_id", "score", "node"])
 
     return run
 
@@ -104,25 +155,33 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: float = SCALE,
     ``vectors`` for each row that the SQL condition ``is_query`` picks."""
     spark = vectors.sparkSession
     x = F.col(vector).cast("array<double>")
-    sound = (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    sound = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    shape = "n int, dim int, ids binary, data binary"
-    pick = ["vec_id", x.alias("x")]
-    shards = rows.select(*pick).mapInArrow(_packed(SHARD, scale), shape)
-    shards = staged(shards.withColumn("g0", F.monotonically_increasing_id()), "shards")
-    tiles = rows.where(is_query).select(*pick).coalesce(8).mapInArrow(_packed(TILE, scale), shape)
-    tiles = staged(tiles.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "tiles")
-    groups = max(1, min(shards.count(), 4 * spark.sparkContext.defaultParallelism))
-    dealt = shards.withColumn("g", F.pmod(F.xxhash64("g0"), F.lit(groups)).cast("int")).drop("g0", "n")
-    spread = tiles.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    lists = dealt.join(spread.hint("shuffle_merge"), "g").mapInArrow(_best(k), "query_id long, vec_id long, score long, node long")
+    flagged = rows.select("vec_id", x.alias("x"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q"))
+    shards = staged(flagged.mapInArrow(_packed(scale), "n int, dim int, rows binary, ids binary, data binary, flags binary"), "shards")
+    queries = shards.select(*SHARD_NAMES).mapInArrow(_picked, "row long, id long, data binary")
+    queries = staged(queries, "queries")
+    size = shards.agg(F.count("*"), F.sum(F.col("n").cast("double") * F.col("dim"))).first()
+    wanted = queries.agg(F.count("*"), F.sum(F.length("data") / 8)).first()
+    n_tiles = max(1, -(-wanted[0] // TILE))
+    tiles = queries.repartition(n_tiles).mapInArrow(_tiled, "q_n int, q_dim int, q_rows binary, q_ids binary, q_data binary")
+    cells = CELLS * spark.sparkContext.defaultParallelism
+    cost = lambda total, n: (total or 0) / max(1, n)
+    n_rows, n_cols = grid(n_tiles, max(1, size[0]), cells, cost(wanted[1], n_tiles), cost(size[1], size[0]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = tiles.withColumn("row", deal("q_rows", n_rows)).withColumn("col", every(n_cols))
+    right = shards.drop("flags").withColumn("col", deal("rows", n_cols)).withColumn("row", every(n_rows))
+    met = right.join(left.hint("shuffle_merge"), ["row", "col"])
+    names = ["q_rows", "q_ids", "q_dim", "q_data", "rows", "ids", "dim", "data", "col"]
+    lists = met.select(*names).mapInArrow(_best(k), "q_row long, query_id long, vec_id long, score long, node long")
 
     def merged(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id")
+        w = Window.partitionBy("q_row", "node").orderBy(F.desc("score"), "vec_id")
         return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    while groups > 1:
-        groups = -(-groups // FAN)
+    while n_cols > 1:
+        n_cols = -(-n_cols // FAN)
         lists = merged(lists.withColumn("node", F.floor(F.col("node") / FAN))).drop("rank")
     return merged(lists).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -132,13 +191,13 @@ def op7(vectors: DataFrame) -> DataFrame:
 
 
 OP7_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
            FROM embeddings
-           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-             CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM s)
-SELECT query_id, CAST(rnk AS INTEGER) AS rank, vec_id, score FROM r WHERE rnk <= 10
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
+             CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rnk FROM s)
+SELECT query_id, CAST(rnk AS INTEGER) AS rank, vec_id, score FROM k WHERE rnk <= 10
 """

@@ -162,13 +162,12 @@ def test_large_and_small_tiles_agree():
 
 
 def brute_top(rows, k=10):
-    ok = [(i, np.floor(1024 * np.array(v, float))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(r, i, np.floor(1024 * np.array(v, float))) for r, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for r, q, a in ok:
         if q % 100 == 0:
-            n = lambda v, m: np.pad(v, (0, m - len(v)))
-            scores = [(-int(sum(int(x) * int(y) for x, y in zip(n(a, max(len(a), len(b))), n(b, max(len(a), len(b)))))), c) for c, b in ok if c != q]
-            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(sorted(scores)[:k])]
+            scores = [(-sum(int(x) * int(y) for x, y in zip(a, b)), c) for t, c, b in ok if t != r]
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(sorted(scores)[:k])]
     return out
 
 
@@ -180,6 +179,7 @@ def test_top_k_equals_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.5, 0.0, 0.25, 0.5]) for _ in range(4)]) for i in range(450)]  # many ties
     rows += [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")]), (504, [float("inf")]), (None, [1.0]), (600, [1.0, 2.0])]
+    rows += [(100, [0.5, 0.5, 0.5, 0.5]), (100, [0.5, 0.5, 0.5, 0.5]), (7, [9.0, 9.0, 9.0, 9.0]), (7, [9.0, 9.0, 9.0, 9.0])]  # repeated ids
     assert sorted(map(tuple, topk.op7(vectors(spark, rows)).collect())) == sorted(brute_top(rows))
 
 
@@ -190,6 +190,19 @@ def test_top_k_few_rows_large_values_and_empty(spark):
     assert topk.op7(vectors(spark, [(0, [1.0])])).count() == 0
 
 
+def test_tiles_and_shards_meet_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i if i % 3 else 100 * i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(300)]
+    monkeypatch.setattr(topk, "CELLS", 7)
+    monkeypatch.setattr(topk, "FAN", 2)
+    tile, shard = topk.TILE, topk.SHARD
+    assert sorted(map(tuple, topk.op7(vectors(spark, rows).repartition(6)).collect())) == sorted(brute_top(rows))
+    assert (tile, shard) == (512, 4096)
+    for tiles, shards, cells in ((1, 1, 8), (3, 1000, 64), (1000, 3, 64), (50, 50, 64), (1, 9, 1)):
+        r, c = topk.grid(tiles, shards, cells)
+        assert 1 <= r <= max(1, tiles) and 1 <= c <= max(1, shards) and r * c <= max(1, cells)
+
+
 def test_scores_stay_exact_beyond_doubles():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**15, 3.0]])
     assert topk._scores(q, c).tolist() == [[2**55 + 3]]
