@@ -3,8 +3,13 @@
 Tier one: a minimal perfect hash over the vocabulary's byte strings gives the
 id of a pre-token that is itself a token (a compare confirms the hit).  Tier
 two: the other pre-tokens are merged by rank with a heap over linked bytes.
-Results of both are remembered per worker, up to a bound.  A null text is
-empty: no ids.  Bytes decode exactly as encoded.
+Results of both are remembered per worker, up to a bound.  Bytes decode
+exactly as encoded.
+
+Defined results: a null or empty text has no ids (digests of no bytes); very
+long texts are encoded whole, slice by slice; equal ranks merge from the left;
+repeated rows, and rows with a null id, are encoded one by one; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
 from .tokenfile import list_array
 from .tokens import Encoder, Ranges, column_bytes, flattened, pattern_ranges, tokenizer_path
 
@@ -176,7 +182,7 @@ def _encoded(model: str, ranges: Ranges):
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and the ids of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encoded(model, pattern_ranges()), f"doc_id {kind}, ids array<int>")
+    return map_arrow(docs.select("doc_id", "text"), _encoded(model, pattern_ranges()), f"doc_id {kind}, ids array<int>")
 
 
 def decode(model: Model, ids: np.ndarray) -> bytes:
@@ -214,4 +220,4 @@ def op6(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Encodes every text and decodes the ids; both are reduced to digests in the worker that has them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(_digested(model, pattern_ranges()), shape)
+    return map_arrow(docs.select("doc_id", "text"), _digested(model, pattern_ranges()), shape)

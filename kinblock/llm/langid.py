@@ -35,6 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .tokens import column_bytes
 
 #: Bounds on the labelled rows that are learned from.
@@ -47,7 +48,7 @@ SLICE = 1 << 20
 SLOPE = 4.0
 UND = "und"
 #: The stage keeps documents with at least this score (see the README for what it costs).
-MIN_SCORE = 0.5
+MIN_SCORE = 0.6
 #: Families of ISO 639-1 codes.
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb",
@@ -198,7 +199,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = M
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, drawn / n)))])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     taken = rows.where(chance < share[F.col("lang")]).select("lang", "text").limit(2 * drawn * len(counts))
-    sample = taken.mapInArrow(_features, "lang string, idx array<int>, val array<float>").toArrow()
+    sample = map_arrow(taken, _features, "lang string, idx array<int>, val array<float>").toArrow()
     order = np.lexsort((np.arange(sample.num_rows), np.array(sample.column("lang").to_pylist(), str)))
     by_lang = np.array(sample.column("lang").to_pylist(), object)[order]
     nth = np.arange(len(order)) - np.searchsorted(by_lang.astype(str), by_lang.astype(str))
@@ -303,7 +304,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     ``labelled`` (default: ``docs``) that are not held out."""
     shared = _model(docs if labelled is None else labelled)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_predicted(shared), f"key {kind}, lang_pred string, score double")
+    rows = map_arrow(docs.select("doc_id", "text"), _predicted(shared), f"key {kind}, lang_pred string, score double")
     return rows.withColumnRenamed("key", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -311,7 +312,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` in a learned language with at least ``min_score``, with their own columns;
     those with a letter if there is nothing to learn from."""
     at = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
-    return docs.mapInArrow(_kept(_model(docs), at, min_score), docs.schema)
+    return map_arrow(docs, _kept(_model(docs), at, min_score), docs.schema)
 
 
 def op2(docs: DataFrame) -> DataFrame:

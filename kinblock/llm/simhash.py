@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import lookup, sized, staged
+from .common import files, hot_keys, lookup, map_arrow, sized, staged
 
 SHINGLE = 3
 RADIUS = 3
@@ -169,14 +169,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and its narrow fingerprint as a signed long ``fp``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_printed(_narrow, 1, [0]), f"doc_id {kind}, fp long")
+    return map_arrow(rows, _printed(_narrow, 1, [0]), f"doc_id {kind}, fp long")
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, the compared bits as longs ``fp`` and ``fp1``, and the block keys ``ks``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_printed(_wide, 1, [0]), f"doc_id {kind}, fp long, fp1 long, ks array<int>")
+    return map_arrow(rows, _printed(_wide, 1, [0]), f"doc_id {kind}, fp long, fp1 long, ks array<int>")
 
 
 def block_keys(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -320,17 +320,17 @@ def links(nodes: DataFrame, keys: Column | None = None, words: tuple[str, ...] =
     """
     keyed = nodes.select(*words, F.explode((choice_keys() if keys is None else keys).cast("array<long>")).alias("key"))
     sizes = keyed.groupBy("key").count().where(F.col("count") > tile)
-    large = staged(sizes.select("key", F.ceil(F.col("count") / tile).cast("int").alias("n")), "buckets")
-    many = sized(large)
-    if many is None:  # no large bucket: every bucket is one tile
+    large = sizes.select("key", F.ceil(F.col("count") / tile).cast("int").alias("n"))
+    if large.isEmpty():  # every bucket is one tile
         tiles = keyed.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(True).alias("first"), *words)
     else:
+        many = sized(staged(large, "buckets"))
         n = F.coalesce("n", F.lit(1))
         member = keyed.join(many, "key", "left").select("key", n.alias("n"), F.pmod(F.xxhash64("fp"), n).cast("int").alias("c"), *words)
         dealt = member.select("key", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), *words)
         tiles = dealt.select("key", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"), (F.col("c") <= F.col("j")).alias("first"), *words)
     by = ["key", "lo", "hi"]
-    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_links(radius, len(words)), "a long, b long")
+    return map_arrow(tiles.repartition(*by).sortWithinPartitions(*by), _links(radius, len(words)), "a long, b long")
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +341,9 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, root) for every node of ``edges`` (a, b); the root is the smallest node of its component.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows (node, root) for every node of ``edges`` (a, b); the root is the smallest node of its
+    component.  ``rows``: about how many nodes there are, if that is known.
 
     Each round brings the links of a node, its smaller neighbours, into one
     partition and replaces the links of the partition by a forest of theirs, so
@@ -351,38 +352,48 @@ def components(edges: DataFrame) -> DataFrame:
     own parents until all are roots.
     """
 
-    def digest(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def reduced(links: DataFrame) -> DataFrame:
+        dealt = links.repartition("a")
+        dealt = dealt if rows is None else dealt.coalesce(files(rows))  # nodes stay together
+        return staged(map_arrow(dealt, _contracted, "a long, b long"), "links")
 
-    down = lambda rows: rows.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, seen = staged(down(edges), "links"), None
-    while (new := digest(now)) != seen:
+    def digest(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = reduced(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    seen = digest(now)
+    while seen[0]:
+        now = reduced(now)
+        if (new := digest(now)) == seen:
+            break
         seen = new
-        now = staged(now.repartition("a").mapInArrow(_contracted, "a long, b long"), "links")
     while True:
         above = now.select(F.col("b").alias("a")).distinct().join(now, "a").select(F.col("a").alias("b"), F.col("b").alias("up"))
-        above = sized(staged(above, "above"))
-        if above is None:
+        if not seen[0] or above.isEmpty():
             break
-        now = staged(now.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b")), "links")
+        above = sized(staged(above, "above", rows))
+        now = staged(now.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b")), "links", rows)
     rooted = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return rooted.union(now.select("b", "b").distinct())
 
 
 def _classed(prints: DataFrame, keys: Column | None = None, words: tuple[str, ...] = ("fp",), radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fp, and of each row's class the smallest row as ``component_id`` and ``component_fp``."""
+    total = prints.count()
     more = [F.min(F.struct(*words[1:], "ks")).alias("more")] if len(words) > 1 else []
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *more), "nodes")
-    flat = nodes.select("fp", *(["more.*"] if more else []))
-    roots = components(links(flat, keys, words, radius, tile))
     # a null id counts as the largest: classes are named by (is null, id, fingerprint)
     name = F.struct(F.col("least").isNull().alias("z"), "least", "fp").alias("name")
-    member = staged(roots.withColumnRenamed("node", "fp").join(nodes.select("fp", name), "fp"), "members")
-    named = staged(member.groupBy("root").agg(F.min("name").alias("first"), F.count("*").alias("n")), "classes")
-    joined = lookup(member.select("fp", "root"), named, "root").select("fp", "first")
-    of_node = nodes.select("fp", "n", name).join(joined, "fp", "left").select("fp", "n", F.coalesce("first", "name").alias("first"))
-    of_node = staged(of_node.select("fp", "n", F.col("first.least").alias("component_id"), F.col("first.fp").alias("component_fp")), "of-node")
-    return lookup(prints.select("doc_id", "fp"), of_node, "fp").select("doc_id", "fp", "component_id", "component_fp")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *more)
+    nodes = staged(nodes.select("fp", name, "n", *(["more"] if more else [])), "nodes", total)
+    flat = nodes.select("fp", *(["more.*"] if more else []))
+    roots = components(links(flat, keys, words, radius, tile), total)
+    member = roots.withColumnRenamed("node", "fp").join(nodes.select("fp", "name"), "fp")
+    named = member.groupBy("root").agg(F.min("name").alias("first"))
+    hot = hot_keys(roots.groupBy("root").agg(F.count("*").alias("n")), "root", total)
+    joined = lookup(member.select("fp", "root"), named, "root", hot).select("fp", "first")
+    of_node = nodes.select("fp", "name").join(joined, "fp", "left").select("fp", F.coalesce("first", "name").alias("first"))
+    of_node = of_node.select("fp", F.col("first.least").alias("component_id"), F.col("first.fp").alias("component_fp"))
+    return lookup(prints.select("doc_id", "fp"), of_node, "fp", hot_keys(nodes, "fp", total)).select("doc_id", "fp", "component_id", "component_fp")
 
 
 def classes(docs: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -393,7 +404,10 @@ def classes(docs: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, tile: i
 
 def wide_classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id and component_fp for every row of ``docs``, by the wide form."""
-    prints = staged(wide_fingerprints(docs), "fingerprints")
+    return _wide_classed(staged(wide_fingerprints(docs), "fingerprints"), tile)
+
+
+def _wide_classed(prints: DataFrame, tile: int = TILE) -> DataFrame:
     return _classed(prints, F.col("ks"), ("fp", "fp1"), WIDE_RADIUS, tile)
 
 
@@ -405,15 +419,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     What goes is joined, not what stays: the ids of the copies are broadcast up
     to a checked number, so that texts need not move.
     """
-    rows = staged(wide_classes(docs), "classed").where("doc_id IS NOT NULL")
-    copies = rows.where("doc_id <> component_id OR fp <> component_fp")
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = sized(staged(copies.select("doc_id"), "copies"))
+    prints = staged(wide_fingerprints(docs), "fingerprints")
+    copies = _wide_classed(prints).where("doc_id IS NOT NULL AND (doc_id <> component_id OR fp <> component_fp)")
+    if prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = sized(staged(copies.select("doc_id"), "copies", prints.count()))
         return docs if gone is None else docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # repeated ids: a row is told by its id and fingerprint
     at = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
     shape = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    marked = docs.mapInArrow(_printed(lambda text: {"__fp": _wide(text)["fp"]}, at, list(range(len(docs.columns)))), shape)
+    marked = map_arrow(docs, _printed(lambda text: {"__fp": _wide(text)["fp"]}, at, list(range(len(docs.columns)))), shape)
     gone = copies.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__gone")).distinct()
     kept = marked.join(gone, (marked["doc_id"] == gone["__id"]) & (marked["__fp"] == gone["__gone"]), "left_anti")
     some = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "__fp"])

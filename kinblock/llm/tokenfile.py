@@ -6,9 +6,14 @@ fixed row groups and pages of few rows with page indexes, so that a reader of
 a doc_id range or of the metadata alone touches only those pages.
 
 Rows: doc_id, ids (list of int), n_tokens, part and part_start (ids of all
-documents before it in its part).  Parts ascend by doc_id.  A null text is
-empty and gives the end id alone; repeated doc_ids stay, in the order of
-their texts; rows with a null doc_id come first.
+documents before it in its part).  Parts ascend by doc_id and a hash of the
+text, so that one doc_id with very many rows is not one task.
+
+Defined results: a null or empty text gives the end id alone; very long texts
+are encoded whole, slice by slice; repeated doc_ids stay, in the order of a
+hash of their texts, then of the texts (ties are equal rows); rows with a null
+doc_id come first; an empty table gives an empty file; other columns are not
+written.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from ..sources.shared import fresh_path
+from .common import map_arrow
 from .tokens import Ranges, column_bytes, library_encoder, library_ranges
 
 MODEL = "byte_bpe_50k.json"
@@ -80,9 +86,10 @@ def write(docs: DataFrame, path: str, model: str = MODEL, end_id: int = END_ID)
     """Write the token file of ``docs`` (doc_id, text) at ``path``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     # dealt and sorted as texts: encoding comes after the sampling pass of the range exchange
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     shape = f"doc_id {kind}, ids array<int>, n_tokens long, part int, part_start long"
-    rows.mapInArrow(_encoded(model, end_id, library_ranges(model)), shape).write.options(**FORMAT).parquet(path)
+    map_arrow(rows.select("doc_id", "text"), _encoded(model, end_id, library_ranges(model)), shape).write.options(**FORMAT).parquet(path)
 
 
 def offsets(rows: DataFrame) -> DataFrame:
@@ -112,5 +119,5 @@ def op3(docs: DataFrame) -> DataFrame:
     write(docs, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = spark.read.parquet(path).select("doc_id", "ids", "part", "part_start")
-    digests = rows.mapInArrow(_digests, f"doc_id {kind}, part int, part_start long, n_tokens long, ids_crc32 long")
+    digests = map_arrow(rows, _digests, f"doc_id {kind}, part int, part_start long, n_tokens long, ids_crc32 long")
     return digests.join(offsets(spark.read.parquet(path)), "part").select("doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import map_arrow, staged
 
 SHARD = 4096
 TILE = 512
@@ -158,13 +158,13 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: float = SCALE,
     sound = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
     flagged = rows.select("vec_id", x.alias("x"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q"))
-    shards = staged(flagged.mapInArrow(_packed(scale), "n int, dim int, rows binary, ids binary, data binary, flags binary"), "shards")
-    queries = shards.select(*SHARD_NAMES).mapInArrow(_picked, "row long, id long, data binary")
+    shards = staged(map_arrow(flagged, _packed(scale), "n int, dim int, rows binary, ids binary, data binary, flags binary"), "shards")
+    queries = map_arrow(shards.select(*SHARD_NAMES), _picked, "row long, id long, data binary")
     queries = staged(queries, "queries")
     size = shards.agg(F.count("*"), F.sum(F.col("n").cast("double") * F.col("dim"))).first()
     wanted = queries.agg(F.count("*"), F.sum(F.length("data") / 8)).first()
     n_tiles = max(1, -(-wanted[0] // TILE))
-    tiles = queries.repartition(n_tiles).mapInArrow(_tiled, "q_n int, q_dim int, q_rows binary, q_ids binary, q_data binary")
+    tiles = map_arrow(queries.repartition(n_tiles), _tiled, "q_n int, q_dim int, q_rows binary, q_ids binary, q_data binary")
     cells = CELLS * spark.sparkContext.defaultParallelism
     cost = lambda total, n: (total or 0) / max(1, n)
     n_rows, n_cols = grid(n_tiles, max(1, size[0]), cells, cost(wanted[1], n_tiles), cost(size[1], size[0]))
@@ -174,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: float = SCALE,
     right = shards.drop("flags").withColumn("col", deal("rows", n_cols)).withColumn("row", every(n_rows))
     met = right.join(left.hint("shuffle_merge"), ["row", "col"])
     names = ["q_rows", "q_ids", "q_dim", "q_data", "rows", "ids", "dim", "data", "col"]
-    lists = met.select(*names).mapInArrow(_best(k), "q_row long, query_id long, vec_id long, score long, node long")
+    lists = map_arrow(met.select(*names), _best(k), "q_row long, query_id long, vec_id long, score long, node long")
 
     def merged(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy("q_row", "node").orderBy(F.desc("score"), "vec_id")

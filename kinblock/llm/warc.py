@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, sized, staged
+from ..sources.shared import fresh_path
+from .common import map_arrow, sized, staged
 
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
@@ -117,11 +118,11 @@ def records(pages: DataFrame, revisit_from: int = 0, chunk: int = CHUNK) -> Data
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    marks = staged(pages.select("page_id", F.sha1(payload).alias("sha"), F.length(payload).alias("n")), "digests")
+    marks = staged(pages.select("page_id", F.sha1(payload).alias("sha"), F.length(payload).alias("n")), "digests", pages.count())
     groups = marks.where(F.col("n") >= revisit_from).groupBy("sha").agg(F.count("*").alias("k"), F.min("page_id").alias("first"))
     shared = groups.where("k > 1").select("sha", "first")  # payloads seen once need no decision
     again = marks.join(shared, "sha").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first").distinct()
-    again = sized(staged(again, "revisits"))
+    again = sized(staged(again, "revisits", marks.count()))
     if again is None:
         decided = rows.select("page_id", "url", "payload", "sha", F.lit(None).cast("long").alias("first"), F.lit(False).alias("revisit"))
     else:
@@ -133,7 +134,7 @@ def records(pages: DataFrame, revisit_from: int = 0, chunk: int = CHUNK) -> Data
     dealt = decided.select("page_id", "url", "payload", "sha", "first", "revisit", chunks.alias("chunks"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     data = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk)))
     table = dealt.select("page_id", "url", "sha", length.cast("long").alias("length"), "first", "revisit", "chunk", "chunks", data.alias("data"))
-    return table.mapInArrow(_segments, RECORDS)
+    return map_arrow(table, _segments, RECORDS)
 
 
 def write(pages: DataFrame, path: str, revisit_from: int = 0, chunk: int = CHUNK) -> None:
@@ -223,7 +224,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per page record of the archives below ``path``; gzip files are never split."""
     lines = spark.read.option("lineSep", END.decode()).text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(_walked, SHAPE)
+    return map_arrow(lines.select(F.col("value").cast("binary").alias("value")), _walked, SHAPE)
 
 
 def op8(pages: DataFrame) -> DataFrame:

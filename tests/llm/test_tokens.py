@@ -126,6 +126,32 @@ def test_token_file_is_selective(spark, tmp_path):
     name = next((tmp_path / "file").glob("*.parquet"))
     column = pq.ParquetFile(name).metadata.row_group(0).column(1)
     assert any("DICTIONARY" in e for e in column.encodings) and column.has_offset_index and column.compression == "ZSTD"
+    assert pq.ParquetFile(name).metadata.row_group(0).column(0).has_column_index
+
+
+def scanned(df):
+    """Rows that the scan of ``df`` gave."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_token_file_pages_are_skipped(spark, tmp_path):
+    """A range of documents reads the pages that hold it, by the column index, and no others."""
+    path = str(tmp_path / "file")
+    tokenfile.write(documents(spark, [(i, f"text {i}") for i in range(8000)]).coalesce(1), path)
+    rows = spark.read.parquet(path).coalesce(1)
+    assert scanned(rows.select("doc_id", "ids")) == 8000
+    assert scanned(rows.where("doc_id BETWEEN 4100 AND 4120").select("doc_id", "ids")) <= 2000
+
+
+def test_repeated_ids_in_the_file(spark):
+    rows = [(5, f"text {k % 7}") for k in range(60)] + [(4, "x"), (6, None)]
+    got = sorted(tuple(r) for r in tokenfile.op3(documents(spark, rows).repartition(4)).collect())
+    assert [r[0] for r in got] == [4, *[5] * 60, 6]
+    by_start = sorted(got, key=lambda r: r[1])
+    assert by_start[0][0] == 4 and by_start[-1][0] == 6 and all(a[1] + a[2] == b[1] for a, b in zip(by_start, by_start[1:]))
+    encode = library()
+    assert sorted(r[3] for r in got if r[0] == 5) == sorted(crc([*encode(t), 0]) for d, t in rows if d == 5)
 
 
 def test_bpe_query(spark):
