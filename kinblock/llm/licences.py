@@ -1,32 +1,39 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-Every template is a short licence text with its label and the key phrases
-that must be present.  The index lists, for each rare word of a template, its
-places there.  One pass over the corpus counts in how many documents each
-licence word occurs (at most as many numbers as there are licence words); the
-second pass looks up, per file that may hold a key phrase, all its indexed
-words, meets the template postings at the same relative position, sums
-the weights along each alignment, and accepts a template whose best alignment
-reaches THRESHOLD of its weight and holds all its key phrases there.
+Every template is a licence text, notice or opening sentence with its label
+and the key phrases that must be present.  The index lists, for each rare word
+of a template, its places there.  One pass over the corpus counts in how many
+documents each licence word occurs (at most as many numbers as there are
+licence words); the second pass looks up, per file that may hold a key phrase,
+all its indexed words, meets the template postings at the same relative
+position, and sums the weights along each alignment.  Of the alignments that
+reach THRESHOLD of the template's weight and hold all its key phrases in their
+places the best counts; with one the template is accepted.
 
 The base phrases are always labelled, wherever their words stand in a row:
 each is found through its rarest word and verified word by word.
 
 Words: runs of ASCII digits and letters and all characters from U+0080, of
-the text with A-Z lower-cased.  A null or empty text has no words, no labels,
-null first and last word and score 0.  Ties of frequency go to the word that
-sorts first.  Repeated rows are scanned one by one.
+the text with A-Z lower-cased.
+
+Defined results: a null or empty text has no words, no labels, null first and
+last word and score 0; very long texts are scanned whole; ties of frequency go
+to the word that sorts first; repeated rows, and rows with a null id, are scanned
+one by one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import barrier
+from .licence_texts import TEXTS
 
 WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 THRESHOLD = 0.6
@@ -48,7 +55,12 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Opening or grant sentences of public licences.
+def plain(text: str) -> str:
+    """The words of ``text``, joined by spaces."""
+    return " ".join(re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower()))
+
+
+#: The base phrases, opening or grant sentences of public licences, and whole texts and notices.
 TEMPLATES = [
     *[Template(label, phrase, (phrase,)) for phrase, label in BASE.items()],
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge to any person obtaining a copy of this software",)),
@@ -66,11 +78,13 @@ TEMPLATES = [
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4",)),
     Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
-]
+    *[Template(label, plain(text), keys) for label, text, keys in TEXTS],
+]
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), "")
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lowered, WORD_BREAK), "")
 
 
 def vocabulary(templates: list[Template]) -> list[str]:
@@ -151,25 +165,19 @@ def _alignments(index: Index) -> Column:
 
 
 def _accepted(index: Index, t: int) -> Column:
-    """Share of template ``t``'s weight on its best alignment, or 0 if that fails."""
-    state = lambda d, s, best, at: F.struct(d.alias("d"), s.alias("s"), best.alias("best"), at.alias("at"))
-    none, zero = F.lit(-(2**31)), F.lit(0.0)
+    """The largest share of template ``t``'s weight on an alignment that is accepted, or 0."""
+    state = lambda d, s, best: F.struct(d.alias("d"), s.alias("s"), best.alias("best"))
+    zero = F.lit(0.0)
 
     def step(acc: Column, x: Column) -> Column:
         total = F.when(x["d"] == acc["d"], acc["s"] + x["w"]).otherwise(x["w"])
-        better = total > acc["best"]
-        return state(x["d"], total, F.greatest(total, acc["best"]), F.when(better, x["d"]).otherwise(acc["at"]))
-
-    best = F.aggregate(F.filter("__m", lambda x: x["t"] == t), state(none, zero, zero, none), step)
-    share = lambda b: F.least(b["best"] / F.lit(index.total[t]), F.lit(1.0))
-
-    def verified(b: Column) -> Column:
-        ok = share(b) >= THRESHOLD
+        ok = total > F.greatest(acc["best"], F.lit(THRESHOLD * index.total[t] * (1 - 1e-9)))
         for p, place in index.keys_of(t):
-            ok = ok & F.array_contains(F.col("__o"), F.struct(F.lit(p).alias("p"), (b["at"] + place).alias("at")))
-        return F.when(ok, share(b)).otherwise(F.lit(0.0))
+            ok = ok & F.array_contains(F.col("__o"), F.struct(F.lit(p).alias("p"), (x["d"] + place).alias("at")))
+        return state(x["d"], total, F.when(ok, total).otherwise(acc["best"]))
 
-    return F.element_at(F.transform(F.array(best), verified), 1)
+    best = F.aggregate(F.filter("__m", lambda x: x["t"] == t), state(F.lit(-(2**31)), zero, zero), step)
+    return F.least(best["best"] / F.lit(index.total[t]), F.lit(1.0))
 
 
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -49,5 +50,66 @@ def test_one_text_with_all_templates(spark):
     assert got[0].labels == ",".join(sorted({t.label for t in L.TEMPLATES})) and got[1].labels == ""
 
 
+def brute_labels(rows, templates):
+    """(labels, score) of each text by all alignments of all templates, with frequencies counted here."""
+    words_ = [W.findall((t or "").translate(LOWER)) for _, t in rows]
+    vocab = L.vocabulary(templates)
+    df = {w: sum(w in set(ws) for ws in words_) for w in vocab}
+    idf = {w: math.log((len(rows) + 1) / (df[w] + 1)) + 0.01 for w in vocab}
+    order = sorted(vocab, key=lambda w: (-idf[w], w))
+    out = []
+    for ws in words_:
+        labels, best = set(), 0.0
+        base = brute(" ".join(ws))[4]
+        for t in templates:
+            own = t.text.split()
+            rare = [w for w in order if w in own][: L.PER_TEMPLATE]
+            places = [k for k, w in enumerate(own) if w in rare]
+            total = sum(idf[own[k]] for k in places)
+            phrases = [p.split() for p in t.keys]
+            starts = [next(k for k in range(len(own)) if own[k : k + len(p)] == p) for p in phrases]
+            for d in range(-len(own), len(ws)):
+                at = lambda k, d=d: ws[d + k] if 0 <= d + k < len(ws) else None
+                weight = sum(idf[own[k]] for k in places if at(k) == own[k])
+                if weight >= L.THRESHOLD * total * (1 - 1e-9) and all([at(s + k) for k in range(len(p))] == p for p, s in zip(phrases, starts)):
+                    labels.add(t.label)
+                    best = max(best, min(1.0, weight / total))
+        out.append((",".join(sorted(labels | set(filter(None, base.split(","))))), 1.0 if base else best))
+    return out
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    templates = [t for t in L.TEMPLATES if len(t.text.split()) < 60]
+    rows = [(None, None), (1, "")]
+    for k in range(60):
+        parts = []
+        for t in rng.sample(templates, rng.randint(1, 4)):
+            own = t.text.split()
+            for _ in range(rng.choice([0, 0, 0, 1, 2, 5])):
+                own[rng.randrange(len(own))] = words(rng, 1)
+            if rng.random() < 0.2:
+                del own[rng.randrange(len(own))]
+            parts += [words(rng, rng.randint(0, 9)), " ".join(own)]
+        rows.append((10 + k, " ".join(parts)))
+    got = [(r.labels, r.score) for r in L.scan(documents(spark, rows, clash=True).coalesce(1), templates).collect()]
+    want = brute_labels(rows, templates)
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want))
+    assert len({w[0] for w in want}) > 20 and any(w[0] == "" for w in want[2:])
+
+
+def test_a_whole_alignment_after_a_broken_one(spark):
+    whole = next(t.text for t in L.TEMPLATES if t.label == "isc" and len(t.text.split()) < 30)
+    rows = [(1, whole.replace("and or", "or maybe") + " some words between " + whole), (2, whole.replace("and or", "or maybe")), (3, "x y z")]
+    got = {r.doc_id: r.labels for r in L.op1(documents(spark, rows)).collect()}
+    assert got == {1: "isc", 2: "", 3: ""}
+
+
+def test_long_text_and_only_ascii_is_lowered(spark):
+    text = "x " * 700_000 + "UNDER the MIT License \u212a" + " y" * 100_000
+    r = L.op1(documents(spark, [(1, text), (2, "under the M\u0130T license")])).where("doc_id = 1").first()
+    assert (r.n_words, r.n_base, r.first_word, r.base_labels) == (800_005, 1, 700_000, "mit")
+
+
 def test_empty_table(spark):
     assert L.op1(documents(spark, [])).count() == 0
