@@ -4,10 +4,14 @@ Every rule is evaluated once per document.  The ledger stores one bit per
 failed rule beside the measurements; a policy is a versioned bit mask, so a
 change of policy or an ablation reads the ledger and never the texts.
 
-Words are runs of characters other than space and U+0009-U+000D.  A null text
-counts as empty: no words, all measurements 0.  Repeated rows are measured
-one by one; columns of the input other than ``text`` pass through unless the
-ledger has a column of that name, which then replaces it.
+Words are runs of characters other than space and U+0009-U+000D.
+
+Defined results: a null text counts as empty (no words, all measurements 0, so
+``few_words`` fails); very long texts are measured whole; repeated rows, and rows
+with a null id, are measured one by one; measures on a rule's limit pass it (every
+condition is a strict one); an empty table gives an empty ledger; columns of the
+input other than ``text`` pass through unless the ledger has a column of that
+name, which then replaces it (``apply_policy`` keeps the input's own).
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path
 from .common import barrier
 
 WORD_BREAK = "[ \\t-\\r]+"
@@ -144,6 +149,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return barrier(measure(docs).withColumn("fail_bits", bits))
 
 
+def store(docs: DataFrame, path: str) -> None:
+    """Write the ledger of ``docs`` without texts, for policies and ablations to come."""
+    ledger(docs).write.parquet(path)
+
+
 def kept(policy: str = DEFAULT_POLICY) -> Column:
     """Whether a ledger row passes ``policy``."""
     return F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy] | BASE).cast("long")) == 0
@@ -190,6 +200,14 @@ def op9(docs: DataFrame) -> DataFrame:
     )
 
 
+def quality_ablation(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
+    """Stores the ledger of ``docs``, and reads the ablation of ``policy`` from it."""
+    spark = docs.sparkSession
+    path = fresh_path(spark, "ledger")
+    store(docs.select("doc_id", "text"), path)
+    return ablation(spark.read.parquet(path), policy)
+
+
 OP9_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
 w AS (SELECT doc_id, txt,
@@ -218,3 +236,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits
 FROM b
 """
+
+ABLATION_SQL = OP9_SQL[: OP9_SQL.rindex("SELECT doc_id")] + "".join(
+    f"{'' if not k else 'UNION ALL '}SELECT '{name}' AS rule, count(*) FILTER (WHERE fail_bits & {BIT[name]} <> 0) AS n_failed,"
+    f" count(*) FILTER (WHERE fail_bits & {POLICIES[DEFAULT_POLICY]} = {BIT[name]}) AS n_only FROM b\n"
+    for k, name in enumerate(n for n, _ in RULES if POLICIES[DEFAULT_POLICY] & BIT[n])
+)

@@ -23,9 +23,10 @@ def queries() -> dict[str, Query]:
         "op7_exact_topk": lambda s, d: topk.op7(table(s, d, "embeddings")),
         "op8_warc": lambda s, d: warc.op8(table(s, d, "pages")),
         "op9_quality_rules": lambda s, d: quality.op9(table(s, d, "documents")),
+        "quality_ablation": lambda s, d: quality.quality_ablation(table(s, d, "documents")),
         "op10_simhash": lambda s, d: simhash.op10(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": topk.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op7_exact_topk": topk.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_quality_rules": quality.OP9_SQL, "quality_ablation": quality.ABLATION_SQL}

@@ -47,5 +47,17 @@ def test_policy_keeps_columns_and_ablation(spark):
     assert table["many_symbols"] == (1, 0) and table["few_words"][0] == 9
 
 
+def test_ablation_of_a_stored_ledger(spark):
+    rows = edge_rows() + [(50, " ".join(map(str, range(100, 150)))), (51, "& " * 40 + "a b c d e f g h i j")]
+    stored = {tuple(r) for r in Q.quality_ablation(documents(spark, rows, clash=True)).collect()}
+    assert stored == {tuple(r) for r in Q.ablation(Q.ledger(documents(spark, rows))).collect()} and len(stored) == 6
+
+
+def test_long_text(spark):
+    text = "a b c d e f g " * 60_000 + "\n" + " ".join(str(i) for i in range(400_000))
+    got = Q.ledger(documents(spark, [(1, text)])).first()
+    assert (got.n_words, got.n_repeat_words, got.n_lines) == (820_000, 420_000, 2)
+
+
 def test_empty_table(spark):
     assert Q.op9(documents(spark, [])).count() == 0 and Q.apply_policy(documents(spark, [])).count() == 0
