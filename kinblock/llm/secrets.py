@@ -10,9 +10,12 @@ table of labelled findings (by default LABELLED rows generated by rule, or the
 caller's) and then becomes one SQL expression that is evaluated beside the
 text, so scanning is one projection without shuffle, join or Python.
 
-A null or empty text has no findings.  Repeated rows are scanned one by one;
-findings are numbered from 0 within a row, and ``start`` counts characters
-from 0.  The path is the column ``source``; null is empty.
+Defined results: a null or empty text has no findings; very long texts are
+scanned whole; a score on the threshold is a secret; repeated rows, and rows
+with a null id, are scanned one by one; findings are numbered from 0 within a
+row, and ``start`` counts characters from 0; the path is the column ``source``,
+null or absent is empty; an empty table gives an empty result; other columns
+are not read (``op4``) or passed through (``redact``).
 """
 
 from __future__ import annotations

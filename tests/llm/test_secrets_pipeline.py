@@ -59,6 +59,68 @@ def test_values_given_to_names(spark):
     assert [clean[k] for k in range(len(given))] == [f"one two\n{a}[SECRET]{z}" for a, _, z in given]
 
 
+def brute_findings(text, path, trees):
+    """(start, value, score) of each candidate by the regex module, features by hand and a walk of each tree."""
+    import regex
+
+    find = lambda p, t, f=0: len(list(regex.finditer(p, t, regex.ASCII | f)))
+    has = lambda p, t: float(regex.search(p, t, regex.ASCII) is not None)
+    out = []
+    spans = [m.span() for m in regex.finditer(S.CANDIDATE, text, regex.ASCII)]
+    for k, (i, j) in enumerate(spans):
+        pre = regex.match(S._ASSIGN, text[i:j], regex.ASCII)
+        pre = pre[0] if pre else ""
+        v = text[i + len(pre) : j]
+        before = text[spans[k - 1][1] if k else 0 : i]
+        b = (before[-60:] + pre)[-60:]
+        a = text[j : spans[k + 1][0] if k + 1 < len(spans) else len(text)][:30]
+        n, low = len(v), v.lower()
+        quiet = "[^A-Za-z]{0,8}$"
+        f = {
+            "length": min(n, 400), "digits": find("[0-9]", v) / n, "upper": find("[A-Z]", v) / n, "lower": find("[a-z]", v) / n,
+            "hexed": has("^[0-9a-f]+$", v), "uuid": has("^(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$".replace("^(?i)", "(?i)^"), v),
+            "transitions": find("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", v) / n,
+            "pairs": sum(low[q : q + 2] in S._PAIRS.split("|") for q in range(n)) / n,
+            "dictionary": 1 - len(regex.sub(S._WORDS, "", low)) / n, "distinct": len(set(v)) / min(n, 40),
+            "fake": has("(?i)example|xxxx|dummy|placeholder|your|changeme|sample|12345678|abcdefgh|00000000|<|>|\\*\\*", v),
+            "known": has("^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abpr]-|sk_live_|AIza|-----BEGIN)", v),
+            "keyword": has(f"(?i)({S._KEYWORD}){quiet}", b), "keyword_near": has(f"(?i)({S._KEYWORD})", b), "noise": has(f"(?i)({S._NOISE}){quiet}", b),
+            "assigned": has("[:=][ \\t]*[\"']?$", b), "quoted": float(b[-1:] in ("'", '"') and b != "" and a[:1] in ("'", '"') and a != ""),
+            "path_noise": has("(?i)test|example|sample|fixture|mock|[.]lock$|[.]min[.]|vendor|docs?/", path),
+            "path_config": has("(?i)[.](env|ya?ml|ini|conf|cfg|properties|pem|key)$|config|secret", path),
+        }
+
+        def walk(t):
+            while isinstance(t, tuple):
+                t = t[2] if f[t[0]] <= t[1] else t[3]
+            return t
+
+        out.append((i + len(pre), v, sum(map(walk, trees)) / len(trees)))
+    return out
+
+
+def test_findings_equal_brute_force(spark):
+    rng = random.Random(14)
+    rows = [r for r in S.labelled_findings(spark, 230).collect()]
+    texts = ["plain text only", "", "ünïcode é漢 token = 'aZ9kq2vX7wTz41Lb' x"]
+    for _ in range(60):
+        texts.append(" ".join(f"{words(rng, rng.randint(0, 4))} {r.b}{r.v}{r.a}" for r in rng.sample(rows, rng.randint(1, 5))))
+    trees = S.train(S.labelled_findings(spark))
+    got = S.findings_of(documents(spark, list(enumerate(texts)))).collect()
+    assert len(got) > 100
+    for k, t in enumerate(texts):
+        own = sorted((r.finding, r.start, r.value, r.score) for r in got if r.doc_id == k)
+        want = brute_findings(t, "src1", trees)
+        assert [r[:3] for r in own] == [(i, a, v) for i, (a, v, _) in enumerate(want)], t
+        assert all(abs(r[3] - w[2]) < 1e-9 for r, w in zip(own, want)), t
+
+
+def test_secret_in_a_long_text(spark):
+    text = "word " * 300_000 + f'token = "{HEX}" ' + "word " * 100_000
+    got = S.findings_of(documents(spark, [(1, text)])).collect()
+    assert [(r.start, r.value, r.is_secret) for r in got] == [(text.index(HEX), HEX, True)]
+
+
 def test_redact(spark):
     docs = documents(spark, edge_rows() + [(50, f'a token = "{HEX}" b commit {HEX}'), (51, "clean")], clash=True)
     out = S.redact(docs)
@@ -97,3 +159,17 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert sum(r.length for r in own) == n and len(own) == -(-n // 1024)
     assert {r.doc_id for r in got} == {d for d, _ in left}
     assert sum(r.length for r in got) == tokens
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty table, clashing columns, null and repeated ids with equal and other texts: every stage keeps its schema."""
+    rng = random.Random(16)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(None, a), (None, a), (1, b), (1, b), (1, c), (2, b), (3, None), (4, ""), (5, c.upper())]
+    for name, own, want in (("odd", rows, [None, None, 1, 1]), ("empty", [], [])):
+        docs = documents(spark, own, clash=True)
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert sorted((r.doc_id for r in got if r.piece == 0), key=lambda d: (d is not None, d)) == want
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, str(tmp_path / name)).schema.simpleString() == docs.schema.simpleString()
