@@ -14,9 +14,12 @@ amount that raises no length's covered part by more than a step.  The weights
 over the best price are a dual solution, so each step bounds the sequences
 from below; smaller steps follow until the plan is within GAP of the bound.
 The fractional plan is then rounded: whole parts of amounts first, one more of
-each configuration while its pieces last; what is left is solved anew, and in the end
-placed by best fit.  ``program`` returns the fractional value and the bound
-beside the plan.  If plain best fit of all pieces is shorter, its plan is taken.
+each configuration while its pieces last, those without waste before others.
+Best fit places what is left, after some or all of the rounding, whichever is
+shortest (ties: after most of it); while the plan is more than one sequence
+above the bound, the program is solved anew for what is left.  ``program``
+returns the fractional value, the bound and the number of rounded sequences
+beside the plan.
 
 The plan lists, per length, ranges of piece ranks and the sequences they go
 to.  A piece's rank among its length is its rank within its part (counted
@@ -40,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from ..sources.shared import fresh_path
+from .common import map_arrow
 from .tokenfile import FORMAT, MODEL, crc_of_lists, list_array, with_end
 from .tokens import Ranges, column_bytes, library_encoder, library_ranges
 
@@ -59,11 +63,13 @@ Plan = list[tuple[int, dict[int, int]]]
 
 @dataclass
 class Program:
-    """A plan [(number of sequences, {length: copies})] with the fractional program's value and lower bound."""
+    """A plan [(number of sequences, {length: copies})] with the fractional program's value and lower
+    bound, and how many sequences were rounded from it (the others were placed by best fit)."""
 
     plan: Plan
     value: float
     bound: int
+    rounded: int
 
     @property
     def sequences(self) -> int:
@@ -168,37 +174,47 @@ def _rounded(plan: dict[tuple[int, ...], float], left: dict[int, int], full: flo
     return out
 
 
+def _without(left: dict[int, int], plan: Plan) -> dict[int, int]:
+    """What ``plan`` leaves of the histogram ``left``."""
+    out = dict(left)
+    for times, content in plan:
+        for x, n in content.items():
+            out[x] -= times * n
+    return {x: n for x, n in out.items() if n}
+
+
 def program(counts: dict[int, int], capacity: int = CAPACITY) -> Program:
-    """The plan that covers the histogram ``counts`` exactly, never longer than best fit's."""
+    """The plan that covers the histogram ``counts`` exactly."""
     whole = [(counts[capacity], {capacity: 1})] if counts.get(capacity) else []
-    left = {x: n for x, n in sorted(counts.items()) if n and x < capacity}
+    start = {x: n for x, n in sorted(counts.items()) if n and x < capacity}
     size = lambda plan: sum(n for n, _ in plan)
-    if not left:
-        return Program(whole, size(whole), size(whole))
+    if not start:
+        return Program(whole, size(whole), size(whole), size(whole))
     demand = np.zeros(capacity + 1)
-    demand[list(left)] = list(left.values())
+    demand[list(start)] = list(start.values())
     values, bound = dual(demand, capacity)
     for step in STEPS:
-        plan = fractional(left, capacity, step, values)
+        plan = fractional(start, capacity, step, values)
         if (value := sum(plan.values())) <= (1 + GAP) * bound:
             break
     least = int(np.ceil(bound * (1 - 1e-9)))
     done: Plan = []
-    best = _best_fit(left, capacity)
-    for full in (1.0, 1.0, 1.0, 0.99):  # first configurations that waste nothing
-        if size(best) <= least:
-            break
-        taken = _rounded(plan, left, full * capacity)
-        done = done + taken
-        left = {x: n for x, n in left.items() if n}
-        ending = done + _best_fit(left, capacity)
-        if size(ending) < size(best):
-            best = ending
-        if not left:
+    left = dict(start)
+    best: tuple[Plan, Plan] = ([], [(n, {x: 1}) for x, n in start.items()])
+    for full in (1.0, 1.0, 0.99):  # first configurations that waste nothing
+        taken = _rounded(plan, dict(left), full * capacity)
+        for part in (8, 6, 4, 2, 1, 0):  # eighths of the rounding
+            head = done + taken[: -(-len(taken) * part // 8)]
+            tail = _best_fit(_without(start, head), capacity)
+            if size(head) + size(tail) < size(best[0]) + size(best[1]):
+                best = head, tail
+        done += taken
+        left = _without(start, done)
+        if not left or size(best[0]) + size(best[1]) <= least + 1:
             break
         if taken:
-            plan = fractional(left, capacity, start=values)
-    return Program(whole + best, size(whole) + value, size(whole) + least)
+            plan = fractional(left, capacity, STEPS[0] * 5, values)
+    return Program(whole + best[0] + best[1], size(whole) + value, size(whole) + least, size(whole) + size(best[0]))
 
 
 def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -291,7 +307,7 @@ def pieces(docs: DataFrame, model: str = MODEL, end_id: int = END_ID, capacity:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids array<int>, part int, rank long"
     path = fresh_path(spark, "pieces")
-    docs.select("doc_id", "text").mapInArrow(_pieces(model, end_id, capacity, library_ranges(model)), shape).write.options(**FORMAT).parquet(path)
+    map_arrow(docs.select("doc_id", "text"), _pieces(model, end_id, capacity, library_ranges(model)), shape).write.options(**FORMAT).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -323,7 +339,7 @@ def place(rows: DataFrame, histogram: DataFrame, capacity: int = CAPACITY) -> Da
     names = [c for c in rows.columns if c not in ("part", "rank")]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     joined = rows.join(before, ["part", "length"])
-    return joined.mapInArrow(_placed(table, names), f"{shape}, sequence_id long, offset long")
+    return map_arrow(joined, _placed(table, names), f"{shape}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -341,6 +357,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op5(docs: DataFrame) -> DataFrame:
     rows = pieces(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    light = rows.mapInArrow(_digests, f"doc_id {kind}, piece int, start long, length long, part int, rank long, ids_crc32 long")
+    light = map_arrow(rows, _digests, f"doc_id {kind}, piece int, start long, length long, part int, rank long, ids_crc32 long")
     placed = place(light, rows.select("part", "length"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

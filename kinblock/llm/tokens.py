@@ -9,9 +9,11 @@ sends the answer (a few thousand ranges) with the task.
 
 A tokenizer's added tokens are found first and are pre-tokens of their own.
 Distinct pre-tokens of a slice are then encoded once and remembered in the
-worker, up to a bound in entries and bytes.  No step needs memory beyond a
-slice of SLICE bytes and the longest text's own pieces; texts above SLICE are
-cut where the pattern surely cuts as well (a space between two ASCII letters).
+worker by two 64-bit hashes and their length, in arrays, up to a bound in
+entries and ids; when it is full, those that came once are forgotten.  Pre-tokens
+above LONGEST bytes are encoded anew.  No step needs memory beyond a slice of
+SLICE bytes and the longest text's own pieces; texts above SLICE are cut where
+the pattern surely cuts as well (a space between two ASCII letters).
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 21
-#: Bounds of a worker's memory of pre-tokens: entries, and bytes of them and their ids.
-CACHE, CACHE_BYTES = 300_000, 12 << 20
+#: Bounds of a worker's memory of pre-tokens: entries, their ids in all, and bytes of one.
+CACHE, CACHE_IDS, LONGEST = 500_000, 4 << 20, 64
 SAFE_CUT = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: White space of the pattern: the Unicode property White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -157,6 +159,31 @@ def _pieces(text: bytes) -> list[bytes]:
     return [*out, text[begin:]]
 
 
+def hashes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each word, and its length in bytes (of longer words only LONGEST bytes are hashed)."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+    length = np.diff(offsets).astype(np.int64)
+    order = np.argsort(-length, kind="stable")
+    start, size = offsets[:-1][order].astype(np.int64), length[order]
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    g = ~h
+    more = len(size) - np.searchsorted(size[::-1], np.arange(1, LONGEST + 1))  # words of at least k + 1 bytes
+    for k, m in enumerate(more.tolist()):
+        if not m:
+            break
+        c = data[start[:m] + k].astype(np.uint64)
+        h[:m] = (h[:m] ^ c) * np.uint64(0x100000001B3)
+        g[:m] = (g[:m] + c) * np.uint64(0xD6E8FEB86659FD93)
+        g[:m] ^= g[:m] >> np.uint64(32)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return h[back], g[back], length
+
+
 class Encoder:
     """Ids of texts, by ``encode(list of distinct pre-tokens) -> (number of ids of each, all ids)``;
     ``added``: literals that are never cut."""
@@ -167,33 +194,90 @@ class Encoder:
         self.added = re.compile(b"|".join(map(re.escape, longest_first))) if added else None
         self._clear()
 
-    def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.size = np.zeros(1024, np.int32)
-        self.begin = np.zeros(1024, np.int64)
+    def _clear(self, coming: int = 0) -> None:
+        self.mask = (1 << (2 * self.bound + 2 * coming).bit_length()) - 1
+        self.table = np.full(self.mask + 1, -1, np.int32)  # open addressing: slot, or -1
+        self.n = self.used = 0
+        self.first, self.second = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.size, self.begin = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.hits = np.zeros(1024, np.int32)  # slices that have held the pre-token, since the last shrinking
         self.flat = np.zeros(4096, np.int32)
-        self.used = self.chars = 0
-
-    def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slot) > self.bound or self.chars + 4 * self.used > CACHE_BYTES:
-            self._clear()
-        slot = self.slot
-        new = [w for w in words if w not in slot]
-        if new:
-            sizes, ids = self.encode(new)
-            first, n = len(slot), len(slot) + len(new)
-            slot.update(zip(new, range(first, n)))
-            if n > len(self.size):
-                self.size = np.resize(self.size, 2 * n)
-                self.begin = np.resize(self.begin, 2 * n)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-            self.size[first:n] = sizes
-            self.begin[first:n] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.chars += sum(map(len, new))
-        return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
+
+    def _find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The slot of each pair of hashes, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        left, place = np.arange(len(h)), (h & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            slot = self.table[place].astype(np.int64)
+            there = slot >= 0
+            left, place, slot = left[there], place[there], slot[there]
+            same = (self.first[slot] == h[left]) & (self.second[slot] == g[left])
+            out[left[same]] = slot[same]
+            left, place = left[~same], (place[~same] + 1) & self.mask
+        return out
+
+    def _add(self, h: np.ndarray, g: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        first, n = self.n, self.n + len(h)
+        if n > len(self.size):
+            grown = lambda x: np.concatenate([x, np.zeros(n, x.dtype)])
+            self.first, self.second, self.size, self.begin, self.hits = map(grown, (self.first, self.second, self.size, self.begin, self.hits))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + len(ids), np.int32)])
+        self.first[first:n], self.second[first:n], self.size[first:n], self.hits[first:n] = h, g, sizes, 0
+        self.begin[first:n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.n, self.used = n, self.used + len(ids)
+        slot, place = np.arange(first, n, dtype=np.int32), (h & np.uint64(self.mask)).astype(np.int64)
+        while len(slot):
+            at = np.flatnonzero(self.table[place] < 0)
+            self.table[place[at]] = slot[at]  # of several the last stays
+            put = self.table[place] == slot
+            slot, place = slot[~put], (place[~put] + 1) & self.mask
+
+    def _shrink(self, coming: int) -> None:
+        """Forgets the pre-tokens that came once, and more of the rare ones if half the bounds are not enough;
+        makes room for ``coming`` others."""
+        hits = self.hits[: self.n]
+        keep = np.flatnonzero(hits > 1)
+        keep = keep[np.argsort(-hits[keep], kind="stable")[: self.bound // 2]]
+        keep = keep[np.cumsum(self.size[keep]) <= CACHE_IDS // 2]
+        h, g, size, kept = self.first[keep], self.second[keep], self.size[keep], self._ids(keep)
+        self._clear(coming)
+        self._add(h, g, size, kept)
+
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of ``slots`` one after another."""
+        size = self.size[slots]
+        end = np.cumsum(size, dtype=np.int32)
+        if not len(end):
+            return np.zeros(0, np.int32)
+        at = np.repeat(self.begin[slots] - end + size, size)
+        at += np.arange(end[-1], dtype=np.int32)
+        return self.flat[at]
+
+    def _of(self, words: pa.StringArray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``words[nth]``, and their number in each."""
+        h, g, length = hashes(words)
+        slots = self._find(h, g)
+        slots[length > LONGEST] = -1
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            sizes, ids = self.encode(words.take(pa.array(new)).to_pylist())
+            if self.n + len(new) > self.bound or self.used + len(ids) > CACHE_IDS:
+                self._shrink(len(words))
+                slots = self._find(h, g)
+                slots[length > LONGEST] = -1
+                gone = np.flatnonzero(slots < 0)
+                if len(gone) > len(new):
+                    new = gone
+                    sizes, ids = self.encode(words.take(pa.array(new)).to_pylist())
+            slots[new] = np.arange(self.n, self.n + len(new))
+            self._add(h[new], g[new], sizes, ids)
+            long = new[length[new] > LONGEST]
+            self.second[slots[long]] = ~self.second[slots[long]]  # found by no word
+        self.hits[slots] += 1
+        slots = slots[nth]
+        return self._ids(slots), self.size[slots]
 
     def _cuts(self, data: bytes, doc_ends: np.ndarray) -> np.ndarray:
         if self.added is None or not self.added.search(data):
@@ -212,12 +296,10 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(doc_ends), np.int64)
         words = pa.StringArray.from_buffers(len(where) - 1, pa.py_buffer(where.astype(np.int32).tobytes()), pa.py_buffer(data))
         known = words.dictionary_encode()
-        slots = self._slots(known.dictionary.to_pylist())[known.indices.to_numpy()]
-        size = self.size[slots].astype(np.int64)
-        after = np.cumsum(size)
-        ids = self.flat[np.repeat(self.begin[slots] - after + size, size) + np.arange(after[-1])]
-        total = np.concatenate([[0], after])[np.searchsorted(where, doc_ends)]
-        return ids, np.diff(total, prepend=0)
+        ids, size = self._of(known.dictionary, known.indices.to_numpy())
+        total = np.zeros(len(where), np.int64)
+        np.cumsum(size, out=total[1:])
+        return ids, np.diff(total[np.searchsorted(where, doc_ends)], prepend=0)
 
     def texts(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For successive runs of ``texts``: how many texts, their ids one after another, ids of each."""

@@ -72,12 +72,29 @@ def test_every_code_point_has_the_libraries_ids():
 
 
 def test_memory_of_pre_tokens_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_BYTES", 500)
-    texts = [f"{'ab' * k} word{k}" for k in range(60)]
-    enc = tokens.Encoder(tokens.library_encoder("byte_bpe_50k.json").encode, tokens.library_ranges("byte_bpe_50k.json"))
-    for t in texts:
-        assert [i for _, x, _ in enc.texts([t.encode()]) for i in x.tolist()] == library()(t)
-    assert enc.chars + 4 * enc.used < 1000
+    monkeypatch.setattr(tokens, "CACHE_IDS", 400)
+    texts = [f"{'ab' * k} word{k % 9} the of {'x' * (2 * k)} the" for k in range(60)]
+    by_library, ranges, want = tokens.library_encoder("byte_bpe_50k.json").encode, tokens.library_ranges("byte_bpe_50k.json"), library()
+    for bound in (1, 12, 1000):
+        enc = tokens.Encoder(by_library, ranges, bound)
+        for t in texts:
+            assert [i for _, x, _ in enc.texts([t.encode()]) for i in x.tolist()] == want(t)
+        assert enc.n <= bound // 2 + 12 or bound == 1000
+        assert enc.used <= 400 + 200
+    many = " ".join(f"w{k}" for k in range(3000))
+    assert [i for _, x, _ in tokens.Encoder(by_library, ranges, 5).texts([many.encode()]) for i in x.tolist()] == want(many)
+
+
+def test_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    words = sorted({f"{a}{b}" for a in "abcé漢 " for b in range(3000)} | {"x" * k for k in range(1, 200)} | {"\0" * k for k in range(1, 9)} | {""})
+    array = pa.array(["skip", *words]).slice(1)
+    h, g, length = tokens.hashes(array)
+    assert length.tolist() == [len(w.encode()) for w in words]
+    assert len(set(h.tolist())) == len(set(g.tolist())) == len(words)
+    again = tokens.hashes(pa.array(words[::-1]))
+    assert (again[0][::-1] == h).all() and (again[1][::-1] == g).all()
 
 
 def test_long_texts_are_cut_without_effect(monkeypatch):
