@@ -82,6 +82,20 @@ def transliterate(c: Column, to_ascii: Callable[[Column], Column] | None = None)
     return F.trim(F.regexp_replace(F.lower(to_ascii(strip(c))), "[^a-z0-9]+", " "))
 
 
+def _folds() -> tuple[str, str]:
+    """Characters whose canonical decomposition is an ASCII letter and marks, and those letters."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x80, 0x3000)]
+    found = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].isalpha()]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+def ascii_fold(c: Column) -> Column:
+    """A transliterator for Latin script, by rule and without Python: accented letters become plain ones, marks go."""
+    return F.regexp_replace(F.translate(c, *_folds()), "\\p{Mn}", "")
+
+
 def numbers(c: Column) -> Column:
     """All runs of decimal digits, in order."""
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\\p{Nd}+"), F.lit(0))

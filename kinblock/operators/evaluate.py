@@ -25,12 +25,41 @@ def missing(truth: DataFrame, pairs: DataFrame, limit: int | None = None) -> Dat
     return rows.orderBy("s1", "target").limit(limit) if limit else rows
 
 
+def counted(truth: DataFrame, pairs: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Per s1 of ``truth`` or ``entities`` (default: the truth's): total (true pairs, null out of the
+    truth), n (candidates), hit (true ones) and judged (whether it is one of ``entities``).
+
+    The pairs are read once and reduced to numbers; no entity's candidates meet in one row.
+    """
+    wanted = truth_pairs(truth).select("s1", F.col("target").alias("candidate"), F.lit(1).alias("true"))
+    per = pairs.select("s1", "candidate").join(wanted, ["s1", "candidate"], "left").groupBy("s1").agg(F.count("*").alias("n"), F.count("true").alias("hit"))
+    base = truth.select("s1", F.size("targets").alias("total"))
+    if entities is None:
+        base = base.withColumn("judged", F.lit(True))
+    else:
+        own = entities.select("s1").distinct().withColumn("judged", F.lit(True))
+        base = base.join(own, "s1", "full_outer").withColumn("judged", F.coalesce("judged", F.lit(False)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return base.join(per, "s1", "left").select("s1", "total", zero("n"), zero("hit"), "judged")
+
+
+def recall_columns() -> list[Column]:
+    """Aggregates over the rows of ``counted``."""
+    total, hit = F.coalesce(F.sum("total"), F.lit(0)).cast("long"), F.coalesce(F.sum(F.when(F.col("total").isNotNull(), F.col("hit"))), F.lit(0))
+    share = F.when(total == 0, 0.0).otherwise(hit / total)
+    return [total.alias("total_true"), hit.alias("total_found"), F.round(share, 6).alias("recall")]
+
+
+def stats_columns() -> list[Column]:
+    """Aggregates over the rows of ``counted``."""
+    n = F.when(F.col("judged"), F.col("n"))
+    at = F.percentile(n, F.array(F.lit(0.5), F.lit(0.95)))
+    return [F.round(F.avg(n), 6).alias("avg"), F.round(F.get(at, F.lit(0)), 6).alias("median"), F.round(F.get(at, F.lit(1)), 6).alias("p95"), F.max(n).alias("max")]
+
+
 def recall(truth: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: total_true, total_found, recall (0 without true pairs)."""
-    total = truth.agg(F.coalesce(F.sum(F.size("targets")), F.lit(0)).cast("long").alias("total_true"))
-    hits = found(truth, pairs).agg(F.count("*").alias("total_found"))
-    share = F.when(F.col("total_true") == 0, 0.0).otherwise(F.col("total_found") / F.col("total_true"))
-    return total.join(hits).withColumn("recall", F.round(share, 6))  # one row beside one row
+    return counted(truth, pairs).agg(*recall_columns())
 
 
 def candidate_counts(entities: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -40,35 +69,24 @@ def candidate_counts(entities: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def candidate_stats(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    q = F.percentile("n", F.array(F.lit(0.5), F.lit(0.95)))
-    rows = candidate_counts(entities, pairs).agg(F.round(F.avg("n"), 6).alias("avg"), q.alias("q"), F.max("n").alias("max"))
-    return rows.select("avg", F.round(F.get("q", F.lit(0)), 6).alias("median"), F.round(F.get("q", F.lit(1)), 6).alias("p95"), "max")
+    return candidate_counts(entities, pairs).withColumn("judged", F.lit(True)).agg(*stats_columns())
 
 
 def evaluation(truth: DataFrame, pairs: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """recall, totals and candidate statistics over ``entities`` (default: the truth's), in one row."""
-    return recall(truth, pairs).join(candidate_stats(truth if entities is None else entities, pairs))  # one row beside one row
+    return counted(truth, pairs, entities).agg(*recall_columns(), *stats_columns())
 
 
-def f05(true: Column, predicted: Column) -> Column:
-    """F0.5 of two arrays of ids: 1 if both are empty, 0 if one is or nothing is shared."""
-    t, p = F.array_distinct(true), F.array_distinct(predicted)
-    tp = F.size(F.array_intersect(t, p))
-    precision, recall_ = tp / F.size(p), tp / F.size(t)
+def f05(total: Column, predicted: Column, hit: Column) -> Column:
+    """F0.5 of numbers of true, predicted and truly predicted ids: 1 if the first two are 0, 0 if one is or nothing is hit."""
+    precision, recall_ = hit / predicted, hit / total
     score = 1.25 * precision * recall_ / (0.25 * precision + recall_)
-    return (
-        F.when((F.size(t) == 0) & (F.size(p) == 0), 1.0)
-        .when((F.size(t) == 0) | (F.size(p) == 0) | (tp == 0), 0.0)
-        .otherwise(score)
-    )
+    return F.when((total == 0) & (predicted == 0), 1.0).when((total == 0) | (predicted == 0) | (hit == 0), 0.0).otherwise(score)
 
 
 def f05_per_entity(truth: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(s1, f05).  Candidates of one entity meet in one row, as its truth does."""
-    got = pairs.groupBy("s1").agg(F.collect_set("candidate").alias("p"))
-    none = F.array().cast("array<string>")
-    rows = truth.join(got, "s1", "left")
-    return rows.select("s1", F.round(f05(F.col("targets"), F.coalesce("p", none)), 6).alias("f05"))
+    """(s1, f05) for every s1 of ``truth``."""
+    return counted(truth, pairs).select("s1", F.round(f05(F.col("total"), F.col("n"), F.col("hit")), 6).alias("f05"))
 
 
 def macro_f05(truth: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Signatures of records and key families over them, as one projection and one explode.
 
 A key is (family, country, k1, k2); k2 is empty for one-part families.  An
-empty value gives no key; an empty country is a country.
+empty value gives no key; an empty country is a country.  Repeats of a key in
+a record are counted in its array, so no later step expands or removes them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 
 KEY = ["family", "country", "k1", "k2"]
-_KEYS = "array<struct<family:string,k1:string,k2:string>>"
+_KEYS = "array<struct<family:string,k1:string,k2:string,m:int>>"
 
 
 @dataclass(frozen=True)
@@ -111,14 +112,25 @@ FAMILIES: dict[str, Callable[[], Column]] = {
 }
 
 
-def keys(sig: DataFrame, families: list[str], distinct: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Long-form keys of a signature, repeats kept unless ``distinct`` (once per record and family)."""
+#: Families of at most one key a record.
+SINGLE = {"exact_name", "name_no_suffix", "translit_name", "translit_no_suffix", "domain_name", "number", "prefix5", "prefix8", "translit_prefix6", "first_token"}
 
-    def labelled(family: str) -> Column:
-        arr = F.filter(FAMILIES[family](), lambda x: x["a"] != "")
-        arr = F.array_distinct(arr) if distinct else arr
-        return F.transform(arr, lambda x: F.struct(F.lit(family).alias("family"), x["a"].alias("k1"), x["b"].alias("k2")))
 
-    parts = [labelled(f) for f in families]
-    rows = sig.select("entity_id", "country", *carry, F.explode(F.flatten(F.array(*parts)).cast(_KEYS)).alias("k"))
-    return rows.select("entity_id", *carry, "k.family", "country", "k.k1", "k.k2")
+def keys(sig: DataFrame, families: list[str], distinct: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Long-form keys of a signature: one row per record, family and key, with ``m``, how often
+    the record repeats the key there (1 if ``distinct``)."""
+    own = ["entity_id", "country", *carry]
+    every, once = [f"__{k}" for k in range(len(families))], [f"__once{k}" for k in range(len(families))]
+    given = sig.select(*own, *[F.filter(FAMILIES[f](), lambda x: x["a"] != "").alias(c) for f, c in zip(families, every)])
+    arrays = given.select(*own, *every, *[(F.col(c) if f in SINGLE else F.array_distinct(c)).alias(o) for f, c, o in zip(families, every, once)])
+
+    def labelled(family: str, arr: str, unique: str) -> Column:
+        if distinct or family in SINGLE:
+            times = lambda x: F.lit(1)
+        else:
+            times = lambda x: F.when(F.size(unique) == F.size(arr), 1).otherwise(F.size(arr) - F.size(F.array_remove(arr, x)))
+        return F.transform(unique, lambda x: F.struct(F.lit(family).alias("family"), x["a"].alias("k1"), x["b"].alias("k2"), times(x).alias("m")))
+
+    parts = [labelled(*p) for p in zip(families, every, once)]
+    rows = arrays.select(*own, F.explode(F.flatten(F.array(*parts)).cast(_KEYS)).alias("k"))
+    return rows.select("entity_id", *carry, "k.family", "country", "k.k1", "k.k2", "k.m")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import keys
+from .keys import FAMILIES
 
 SHARES = (10, 25, 50, 100, 500)
 COMPOSITE_SHARES = (10, 25, 50, 100, 250, 500)
@@ -49,12 +49,16 @@ def selected_counts(selected: DataFrame) -> DataFrame:
 
 
 def positive_coverage(truth_pairs: DataFrame, left: DataFrame, right: DataFrame, families: list[str]) -> DataFrame:
-    """Per true pair (s1, target) and family, whether the two records share a key.
-    Targets without a record are left out."""
-    ids = lambda d, c: keys(d, families, distinct=True).groupBy(F.col("entity_id").alias(c), "family").agg(
-        F.collect_set(F.concat_ws("|", "country", "k1", "k2")).alias(f"{c}_keys")
-    )
-    known = truth_pairs.join(right.select(F.col("entity_id").alias("target")).distinct(), "target", "left_semi")
-    sides = known.join(ids(left, "s1"), "s1", "left").join(ids(right, "target"), ["target", "family"], "left")
-    hit = F.coalesce(F.arrays_overlap("s1_keys", "target_keys"), F.lit(False))
-    return sides.groupBy("s1", "target").agg(*[F.coalesce(F.max(F.when(F.col("family") == f, hit)), F.lit(False)).alias(f) for f in families])
+    """Per true pair (s1, target) and family, whether the two signatures share a key.
+    Targets without a record are left out.  Only records of true pairs are looked at,
+    and their keys stay arrays; of records with one id all keys count."""
+
+    def held(sig: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+        some = sig.join(ids.select(F.col(name).alias("entity_id")).distinct(), "entity_id", "left_semi")
+        given = lambda f: F.filter(FAMILIES[f](), lambda x: x["a"] != "")
+        arrays = [F.transform(given(f), lambda x: F.struct(F.col("country").alias("c"), x["a"].alias("a"), x["b"].alias("b"))).alias(f) for f in families]
+        all_ = [F.flatten(F.collect_list(f)).alias(f"{name}_{f}") for f in families]
+        return some.select(F.col("entity_id").alias(name), *arrays).groupBy(name).agg(*all_)
+
+    sides = truth_pairs.join(held(right, truth_pairs, "target"), "target").join(held(left, truth_pairs, "s1"), "s1", "left")
+    return sides.select("s1", "target", *[F.coalesce(F.arrays_overlap(f"s1_{f}", f"target_{f}"), F.lit(False)).alias(f) for f in families])

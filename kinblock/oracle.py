@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BLOCKS, ENTITY_SQL, SMALL_CAP, TEXT_SQL
+from .queries import BLOCKS, ENTITY_SQL, SMALL_CAPS, TEXT_SQL
 
 _LEGAL = "l l c|private limited|pvt limited|pvt ltd|private ltd|limited|ltd|corporation|corp|incorporated|inc|llc|pllc|co|company"
 _LEGAL_WS = _LEGAL.replace("l l c|", "")
@@ -32,6 +32,10 @@ def _word(c: str) -> str:
     return f"trim(regexp_replace(replace(lower(trim({c})), '&', ' and '), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
+def _ascii(c: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents(trim({c}))), '[^a-z0-9]+', ' ', 'g'))"
+
+
 def _series(c: str) -> str:
     return f"trim(regexp_replace(replace(nfc_normalize(lower({c})), '&', ' and '), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
@@ -247,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "prefix8": _from("substring(cp, 1, 8)"),
         "translit_prefix": _from("substring(regexp_replace(nm, '[^a-z0-9]', '', 'g'), 1, 6)"),
         "token_pairs": _from(plus("flatten(list_transform(range(1, len(atk) + 1), lambda i: list_transform(range(i + 1, len(atk) + 1), lambda j: {'a': atk[i], 'b': atk[j]})))"), ENT),
-        "cross_keys": _from(plus("flatten(list_transform(nt, lambda x: list_transform(pc, lambda y: {'a': x, 'b': y})))"), ENT),
+        "cross_keys": _from(plus("flatten(list_transform(nt, lambda x: list_transform(pc, lambda y: {'a': x, 'b': y})))")),
         "pair_key": _from("country || '|' || least(coalesce(nt[1], ''), num) || '|' || greatest(coalesce(nt[1], ''), num)"),
         "char_ngrams": _from(f"CASE WHEN length(cp) >= 3 THEN array_to_string(list_sort({_grams('cp')}), '|') ELSE '' END"),
         "name_features": f"WITH {signature(rows=TEXTS)} SELECT s.entity_id, {_strip('business_name')} AS raw, nm AS basic, cp AS compact, ns AS no_suffix, nm AS transliterated FROM sig s JOIN ent USING (entity_id)",
@@ -256,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "truth_pairs": f"WITH {TRUTH} SELECT * FROM tp",
     }
     for family, (cap, style) in BLOCKS.items():
-        for name, c in ((f"block_{family}", cap), (f"block_{family}_cap{SMALL_CAP}", SMALL_CAP)):
+        for name, c in ((f"block_{family}", cap), (f"block_{family}_small_cap", SMALL_CAPS[family])):
             out[name] = _pairs({family: c}, sets=style.sets)
     out |= {
         "block_exact_name_uncapped": _pairs({"exact_name": 10**12}),
@@ -266,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
             al AS (SELECT * FROM pr UNION SELECT * FROM tov UNION SELECT * FROM gov) {_OUT.format('al')} WHERE s1 <> candidate""",
         "cand_real_scale": _pairs(REAL_SCALE, form="series", sets=False),
         "cand_selective": _pairs(SELECTIVE, sets=False),
-        "cand_selective_cap5": _pairs(dict.fromkeys(SELECTIVE, 5), sets=False),
+        "cand_selective_small_cap": _pairs({f: SMALL_CAPS[f] for f in SELECTIVE}, sets=False),
         "cand_adaptive": f"""WITH {signature()}, {_keys(STRONG, True)}, {_join(STRONG)}, {_rare(RARE_V5, 500)},
             al AS (SELECT src, s1, candidate FROM pr UNION SELECT src, s1, candidate FROM rp) {_OUT.format('al')}""",
         "cand_hybrid": f"{_hybrid()}, al AS (SELECT src, s1, candidate FROM pr UNION SELECT src, s1, candidate FROM res) {_OUT.format('al')}",
@@ -290,6 +294,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT s1, target, {", ".join(f"EXISTS (SELECT 1 FROM sh WHERE sh.s1 = tp.s1 AND sh.target = tp.target AND family = '{f}') AS {f}" for f in SIX)} FROM tp""",
         "totals": f"""WITH {ENT}, {TRUTH} SELECT 'S' || CAST(src + 1 AS VARCHAR) AS what, count(*) AS n FROM ent GROUP BY src
             UNION ALL SELECT 'truth entities', count(*) FROM tr UNION ALL SELECT 'truth pairs', count(*) FROM tp""",
+        "transliterate_ascii": text(_ascii("business_name")),
+        "block_translit_name_ascii": f"""WITH {TEXTS}, a AS (SELECT entity_id, src, coalesce(lower(trim(country)), '') AS country, {_ascii('business_name')} AS k FROM ent),
+            z AS (SELECT src, country, k, count(*) AS n FROM a WHERE src > 0 GROUP BY ALL)
+            SELECT DISTINCT 'S' || CAST(y.src + 1 AS VARCHAR) AS source, x.entity_id AS s1, y.entity_id AS candidate
+            FROM a x JOIN a y USING (country, k) JOIN z USING (country, k) WHERE x.src = 0 AND y.src > 0 AND z.src = y.src AND k <> '' AND z.n <= 500""",
+        "pair_table": f"""WITH {signature(sets=False, first=True)}, {_keys(FIRST)}, {_join(FIRST)}, {_overlap('address_token', 1000, 't')}, {_overlap('address_ngram', 300, 'g')},
+            al AS (SELECT * FROM pr UNION SELECT * FROM tov UNION SELECT * FROM gov) SELECT s1 AS source1_entity_id, candidate AS candidate_entity_id FROM al WHERE s1 <> candidate""",
+        "tsv_cand_v4": _pairs(COMPOSITE),
+        "tsv_truth": f"WITH {TRUTH} SELECT * FROM tp",
+        "candidate_file": f"WITH {signature()}, {_keys(COMPOSITE)}, {_join(COMPOSITE)} SELECT s1 AS item_id_1, candidate AS item_id_2, 'composite' AS blocking_key FROM pr",
+        "match_file": f"WITH {TRUTH} SELECT s1 AS item_id_1, target AS item_id_2, '0.5' AS match_score, '1' AS is_match FROM tp",
+        "profile_file": f"SELECT source, family, keys_seen, total_rows, max FROM ({_profile(SINGLE, False, (10,), 'keys_seen', **_SINGLE_OPTIONS)})",
+        "in_memory_rows": "SELECT CAST(n_nationkey AS VARCHAR) AS entity_id, n_name AS business_name, '' AS business_address, '' AS country FROM nation",
+        "eval_selective": f"WITH {signature(sets=False)}, {TRUTH}, {_keys(SELECTIVE)}, {_join(SELECTIVE)}, {_metrics('SELECT * FROM rc, st')}",
+        "eval_adaptive": f"""WITH {signature()}, {TRUTH}, {_keys(STRONG, True, 'b')}, {_join(STRONG, 'b')}, {_rare(RARE_V5, 500)},
+            pr AS (SELECT src, s1, candidate FROM bpr UNION SELECT src, s1, candidate FROM rp), {_metrics('SELECT * FROM rc, st')}""",
         "eval_v3": f"""WITH {signature(sets=False, first=True)}, {TRUTH}, {_keys(FIRST, prefix='b')}, {_join(FIRST, 'b')}, {_overlap('address_token', 1000, 't')}, {_overlap('address_ngram', 300, 'g')},
             pr AS (SELECT * FROM (SELECT * FROM bpr UNION SELECT * FROM tov UNION SELECT * FROM gov) WHERE s1 <> candidate), {_metrics('SELECT * FROM rc, st')}""",
         "eval_real_scale": f"""WITH {signature(form='series', sets=False)}, {TRUTH}, {_keys(REAL_SCALE)}, {_join(REAL_SCALE)}, {_metrics('SELECT * FROM rc, st')}""",

@@ -47,10 +47,8 @@ def _keys(s1: DataFrame, others: DataFrame, style: Style, families: list[str], d
 
 def first(s1: DataFrame, others: DataFrame, caps: dict[str, int] = FIRST_CAPS, overlap: dict[str, int] = FIRST_OVERLAP) -> DataFrame:
     """14 families with lists of tokens; address tokens and n-grams also by overlap; never a record itself."""
-    q, p = _keys(s1, others, FIRST, list(caps))
-    qo, po = _keys(s1, others, FIRST, list(overlap))
-    pairs = B.block_join(q, p, caps).union(B.overlap_join(qo, po, overlap)).distinct()
-    return pairs.where("s1 <> candidate")
+    q, p = _keys(s1, others, FIRST, list({**caps, **overlap}))
+    return B.block_or_overlap(q, p, caps, overlap).where("s1 <> candidate")
 
 
 def real_scale(s1: DataFrame, others: DataFrame) -> DataFrame:
@@ -80,9 +78,8 @@ def _rare_keys(s1: DataFrame, others: DataFrame, families: list[str]) -> tuple[D
 
 
 def adaptive(s1: DataFrame, others: DataFrame, strong: dict[str, int] = ADAPTIVE_STRONG, budget: dict[str, int] = ADAPTIVE_BUDGET, most: int = ADAPTIVE_DF) -> DataFrame:
-    q, p = _keys(s1, others, SETS, list(strong), distinct=True)
-    selected, posts = rare_selection(s1, others, budget, most)
-    return B.block_join(q, p, strong).union(B.selected_join(selected, posts).select(*B.PAIR)).distinct()
+    q, p = _rare_keys(s1, others, [*strong, *budget])
+    return B.selected_join(B.probes(q, p, strong, budget, most), p).select(*B.PAIR)
 
 
 def hybrid_parts(
@@ -93,12 +90,11 @@ def hybrid_parts(
 
     ``strong_blocks=False`` gives the result of a run whose strong blocks stay empty.
     """
-    q, p = _keys(s1, others, SETS, list(strong), distinct=True)
-    pairs = B.block_join(q, p, strong)
-    pairs = pairs if strong_blocks else pairs.where("false")
+    q, p = _rare_keys(s1, others, [*strong, *budget])
+    read = B.probes(q, p, strong, budget, most)
+    pairs = B.selected_join(read.where("strong") if strong_blocks else read.where("false"), p).select(*B.PAIR)
     hard = B.hard_entities(truth, pairs, least)
-    selected, posts = rare_selection(s1, others, budget, most)
-    return pairs, B.selected_join(selected.join(hard, "s1", "left_semi"), posts)
+    return pairs, B.selected_join(read.where("NOT strong").join(hard, "s1", "left_semi"), p)
 
 
 def hybrid(s1: DataFrame, others: DataFrame, truth: DataFrame, max_df: int = HYBRID_DF, **options) -> DataFrame:
@@ -111,26 +107,14 @@ def hybrid_sweep(s1: DataFrame, others: DataFrame, truth: DataFrame, thresholds:
     strong, rescue = hybrid_parts(s1, others, truth, **options)
     pairs = strong.select("s1", "candidate", F.lit(0).cast("long").alias("df")).union(rescue.select("s1", "candidate", "df"))
     least = pairs.groupBy("s1", "candidate").agg(F.min("df").alias("df"))
-    grid = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    per = truth.select("s1", "targets", grid)
-    admitted = least.select("s1", "candidate", "df", grid).where("df <= threshold")
-    counts = admitted.groupBy("s1", "threshold").agg(F.count("*").alias("n"))
-    wanted = truth.select("s1", F.explode("targets").alias("candidate"))
-    hits = admitted.join(wanted, ["s1", "candidate"]).groupBy("s1", "threshold").agg(F.count("*").alias("hit"))
-    rows = per.join(counts, ["s1", "threshold"], "left").join(hits, ["s1", "threshold"], "left")
-    q = F.percentile(F.coalesce("n", F.lit(0)), F.array(F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy("threshold").agg(
-        F.sum(F.size("targets")).cast("long").alias("total_true"),
-        F.sum(F.coalesce("hit", F.lit(0))).alias("total_found"),
-        F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("avg"),
-        q.alias("q"),
-        F.max(F.coalesce("n", F.lit(0))).alias("max"),
-    )
-    recall = F.when(F.col("total_true") == 0, 0.0).otherwise(F.col("total_found") / F.col("total_true"))
-    return out.select(
-        "threshold", "total_true", "total_found", F.round(recall, 6).alias("recall"), "avg",
-        F.round(F.get("q", F.lit(0)), 6).alias("median"), F.round(F.get("q", F.lit(1)), 6).alias("p95"), "max",
-    )
+    wanted = E.truth_pairs(truth).select("s1", F.col("target").alias("candidate"), F.lit(1).alias("true"))
+    flagged = least.join(wanted, ["s1", "candidate"], "left")
+    many = lambda more, what: [F.count_if((F.col("df") <= t) & more).alias(f"{what}{k}") for k, t in enumerate(thresholds)]
+    per = flagged.groupBy("s1").agg(*many(F.lit(True), "n"), *many(F.col("true").isNotNull(), "hit"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    levels = F.array(*[F.struct(F.lit(t).alias("threshold"), zero(f"n{k}").alias("n"), zero(f"hit{k}").alias("hit")) for k, t in enumerate(thresholds)])
+    rows = truth.join(per, "s1", "left").select(F.size("targets").alias("total"), F.lit(True).alias("judged"), F.inline(levels))
+    return rows.groupBy("threshold").agg(*E.recall_columns(), *E.stats_columns())
 
 
 def best_configuration(sweep: DataFrame, most: float = HYBRID_AVERAGE) -> DataFrame:
@@ -169,9 +153,8 @@ def generate_candidates(records: DataFrame, index: DataFrame) -> DataFrame:
     """(source, s1, candidate) of ``records`` against an index with a ``source`` column."""
     q = keys(signature(records, FIRST), FIRST_FAMILIES)
     some = lambda df, caps: df.where(F.col("family").isin(list(caps)))
-    pairs = B.block_join(some(q, FIRST_CAPS), some(index, FIRST_CAPS), FIRST_CAPS)
-    more = B.overlap_join(some(q, FIRST_OVERLAP), some(index, FIRST_OVERLAP), FIRST_OVERLAP)
-    return pairs.union(more).distinct().where("s1 <> candidate")
+    probed = {**FIRST_CAPS, **FIRST_OVERLAP}
+    return B.block_or_overlap(some(q, probed), some(index, probed), FIRST_CAPS, FIRST_OVERLAP).where("s1 <> candidate")
 
 
 def generate_candidate_pairs(s1: DataFrame, index_s2: DataFrame, index_s3: DataFrame) -> DataFrame:

@@ -19,8 +19,10 @@ from .functions import tokens as K
 from .operators import blocking as B
 from .operators import evaluate as E
 from .operators import profile as P
-from .operators.keys import FIRST, LISTS, SETS, WORDS, keys, signature
+from .operators.keys import FIRST, LISTS, SETS, Style, keys, signature
 from .plans import pipelines as L
+from .sources import tsv
+from .sources.shared import fresh_path
 from .sources.tsv import load_truth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +45,63 @@ SELECT CAST(doc_id AS STRING) AS entity_id,
        CAST(doc_id % 3 AS INT) AS src
 FROM {{documents}}
 """
-SMALL_CAP = 5
+#: Caps that some blocks of every family keep and others exceed, over ``part`` from 2,000 rows on.
+SMALL_CAPS = {
+    "exact_name": 1, "name_no_suffix": 1, "translit_name": 1, "domain_name": 1, "number": 2, "prefix5": 2, "prefix8": 1, "translit_prefix6": 2,
+    "first_token": 14, "name_token": 14, "address_token": 4, "postal": 3, "name_pair": 2, "address_pair": 2, "name_address": 2, "name_number": 1,
+    "name_postal": 1, "number_address": 1, "name_ngram": 4,
+}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Source 1, the other sources and the truth, written as TSV files and read back."""
+    s1, others = sides(spark, sf_dir)
+    d = truth(spark, sf_dir)
+    lists = d.select(F.col("s1").alias("source1_entity_id"), F.concat_ws(",", "targets").alias("matched_entity_ids"))
+    out = []
+    for name, rows in (("s1", s1.select(*tsv.REQUIRED)), ("s2", others.where("source = 'S2'").select(*tsv.REQUIRED)), ("s3", others.where("source = 'S3'").select(*tsv.REQUIRED)), ("truth", lists)):
+        path = fresh_path(spark, f"tsv-{name}")
+        tsv.write_tsv(rows, path)
+        out.append(tsv.read_tsv(spark, path, tsv.TRUTH if name == "truth" else tsv.ENTITY))
+    one, two, three, given = out
+    both = two.withColumn("source", F.lit("S2")).unionByName(three.withColumn("source", F.lit("S3")))
+    return tsv.validate_columns(one), tsv.validate_columns(both), load_truth(given)
+
+
+def _written(rows: DataFrame, write, **options) -> DataFrame:
+    """``rows`` through one of the sinks and back."""
+    path = fresh_path(rows.sparkSession, "sink")
+    write(rows, path)
+    return rows.sparkSession.read.options(header=True, **options).csv(path)
+
+
+def _pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1, others = sides(spark, sf_dir)
+    index = lambda name: L.build_index(others.where(F.col("source") == name))
+    return L.generate_candidate_pairs(s1, index("S2"), index("S3"))
+
+
+def _candidate_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1, others = sides(spark, sf_dir)
+    pairs = L.composite(s1, others).select("s1", "candidate", F.lit("composite").alias("family"))
+    return _written(pairs, tsv.write_candidates, sep="\t")
+
+
+def _match_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = E.truth_pairs(truth(spark, sf_dir))
+    rows = d.select(F.col("s1").alias("item_id_1"), F.col("target").alias("item_id_2"), F.lit("0.5").alias("match_score"), F.lit("1").alias("is_match"))
+    return _written(rows, tsv.write_matches, sep="\t")
+
+
+def _profile_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = _written(L.single_profile(*sides(spark, sf_dir)), tsv.write_profile_csv)
+    return back.selectExpr("source", "family", "CAST(keys_seen AS BIGINT) AS keys_seen", "CAST(total_rows AS BIGINT) AS total_rows", "CAST(max AS BIGINT) AS max")
+
+
+def _in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 nations as rows in memory."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect()
+    return tsv.from_rows(spark, [{"entity_id": str(r[0]), "business_name": r[1], "country": None} for r in rows])
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +152,18 @@ def _address() -> F.Column:
     return F.col("business_address")
 
 
-def _block(family: str, caps: dict[str, int] | None = None, style=SETS) -> Query:
+def text_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = texts(spark, sf_dir)
+    return e.where("src = 0"), e.where("src > 0").withColumn("source", F.concat(F.lit("S"), (F.col("src") + 1).cast("string")))
+
+
+#: Names in plain letters.
+ASCII = Style(to_ascii=T.ascii_fold)
+
+
+def _block(family: str, caps: dict[str, int] | None = None, style=SETS, of=sides) -> Query:
     def run(s, d):
-        s1, others = sides(s, d)
+        s1, others = of(s, d)
         q = keys(signature(s1, style), [family])
         p = keys(signature(others, style, ("source",)), [family], carry=("source",))
         return B.block_join(q, p, caps or {}).select(*B.PAIR)
@@ -161,8 +228,9 @@ def queries() -> dict[str, Query]:
         "prefix5": _names(lambda c: K.prefix(T.compact(basic(c)), 5)),
         "prefix8": _names(lambda c: K.prefix(T.compact(basic(c)), 8)),
         "translit_prefix": _names(lambda c: K.prefix(K.ascii_only(T.transliterate(c)), 6)),
+        "transliterate_ascii": _names(lambda c: T.transliterate(c, T.ascii_fold)),
         "token_pairs": _from_signature(lambda: _pairs_text(K.pairs(F.col("address_tokens"))), entities),
-        "cross_keys": _from_signature(lambda: _pairs_text(K.cross(F.col("name_tokens"), F.col("postals"))), entities),
+        "cross_keys": _from_signature(lambda: _pairs_text(K.cross(F.col("name_tokens"), F.col("postals")))),
         "pair_key": lambda s, d: signature(texts(s, d), SETS).select(
             "entity_id", K.pair_key(F.col("country"), K.first_or_empty(F.col("name_tokens")), F.col("number")).alias("value")
         ),
@@ -175,7 +243,7 @@ def queries() -> dict[str, Query]:
     }
     for family, (cap, style) in BLOCKS.items():
         out[f"block_{family}"] = _block(family, {family: cap}, style)
-        out[f"block_{family}_cap{SMALL_CAP}"] = _block(family, {family: SMALL_CAP}, style)
+        out[f"block_{family}_small_cap"] = _block(family, {family: SMALL_CAPS[family]}, style)
     out |= {
         "block_exact_name_uncapped": _block("exact_name"),
         "overlap_tokens": _overlap("address_token", 1000),
@@ -183,7 +251,7 @@ def queries() -> dict[str, Query]:
         "cand_v3": _both(L.first),
         "cand_real_scale": _both(L.real_scale),
         "cand_selective": _both(L.selective),
-        "cand_selective_cap5": _both(lambda a, b: L.selective(a, b, {f: SMALL_CAP for f in L.SELECTIVE_CAPS})),
+        "cand_selective_small_cap": _both(lambda a, b: L.selective(a, b, {f: SMALL_CAPS[f] for f in L.SELECTIVE_CAPS})),
         "cand_adaptive": _both(L.adaptive),
         "cand_hybrid": _with_truth(L.hybrid),
         "hybrid_sweep": _with_truth(L.hybrid_sweep),
@@ -198,9 +266,19 @@ def queries() -> dict[str, Query]:
         "selected_key_stats": _both(lambda a, b: P.selected_counts(selected(a, b))),
         "positive_coverage": lambda s, d: L.coverage(truth(s, d), *sides(s, d)),
         "totals": _with_truth(L.totals),
+        "block_translit_name_ascii": _block("translit_name", {"translit_name": 500}, ASCII, text_sides),
+        "pair_table": _pair_table,
+        "tsv_cand_v4": lambda s, d: L.composite(*_files(s, d)[:2]),
+        "tsv_truth": lambda s, d: E.truth_pairs(_files(s, d)[2]),
+        "candidate_file": _candidate_file,
+        "match_file": _match_file,
+        "profile_file": _profile_file,
+        "in_memory_rows": _in_memory,
+        "eval_selective": _with_truth(lambda a, b, t: L.evaluate("selective", a, b, t)),
+        "eval_adaptive": _with_truth(lambda a, b, t: L.evaluate("adaptive", a, b, t)),
         "eval_v3": _with_truth(lambda a, b, t: L.evaluate("first", a, b, t)),
         "eval_real_scale": _with_truth(lambda a, b, t: L.evaluate("real_scale", a, b, t)),
-        "index_sizes": lambda s, d: L.build_index(entities(s, d)).groupBy("family").agg(F.count("*").alias("n")),
+        "index_sizes": lambda s, d: L.build_index(entities(s, d)).groupBy("family").agg(F.sum("m").alias("n")),
         "recall": _scored(E.recall),
         "missing_pairs": _scored(E.missing),
         "missing_top30": _scored(lambda t, p: E.missing(t, p, 30)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,20 @@ CANDIDATE_FILE = ["item_id_1", "item_id_2", "blocking_key"]
 MATCH_FILE = ["item_id_1", "item_id_2", "match_score", "is_match"]
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str = ENTITY, multi_line: bool = True) -> DataFrame:
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted field goes on in the next line: then some line has an odd number of quotes."""
+    lines = spark.read.text(path)
+    return not lines.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str = ENTITY, multi_line: bool | None = None) -> DataFrame:
     """A TSV with header; everything is text, ``NA`` too, and empty fields are empty text.
 
-    ``multi_line`` allows line breaks in quoted fields; without it files are split among tasks.
+    ``multi_line`` allows line breaks in quoted fields, but each file is then one
+    task; by default it holds only for files in which such a field is found, and
+    others are split among tasks.
     """
+    multi_line = has_line_breaks(spark, path) if multi_line is None else multi_line
     rows = spark.read.schema(schema).csv(
         path, sep="\t", header=True, quote='"', escape='"', multiLine=multi_line, nullValue="", emptyValue="", enforceSchema=False,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
@@ -40,10 +50,21 @@ def targets(c: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
+def _as_read(raw: DataFrame) -> Column:
+    """An order of rows: by file and place in it, where ``raw`` is read from files."""
+    at = F.monotonically_increasing_id()
+    try:
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", at)
+        raw.select(place)
+    except AnalysisException:
+        return at
+    return place
+
+
 def load_truth(raw: DataFrame, order: str | None = None) -> DataFrame:
     """(s1, targets) of a truth table; of rows with one s1 the last in ``order`` holds
-    (default: the order of reading).  Entities without targets stay."""
-    at = F.col(order) if order else F.monotonically_increasing_id()
+    (default: the order of reading, files by name).  Entities without targets stay."""
+    at = F.col(order) if order else _as_read(raw)
     rows = raw.select(F.col("source1_entity_id").alias("s1"), targets(F.col("matched_entity_ids")).alias("targets"), at.alias("at"))
     return rows.groupBy("s1").agg(F.max_by("targets", "at").alias("targets"))
 

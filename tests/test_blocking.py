@@ -7,15 +7,15 @@ from kinblock.operators.keys import FIRST, LISTS, SETS, keys, signature
 from kinblock.plans import pipelines as L
 from kinblock.sources.tsv import ENTITY
 
-S1 = [("S1-001", "Shree Ganesh Electronics Pvt. Ltd.", "12, M.G. Road, Bengaluru 560037", "India")]
-#: Own rows after the pattern of a smoke test: same business, token or address overlap only, web name, and others.
+S1 = [("S1-001", "Quellbach Orgel Werkstatt Pvt. Ltd.", "31, H.K. Road, Lindenau 481025", "Utopia")]
+#: The same business, overlap of a name token or of an address token only, and others.
 S2 = [
-    ("S2-001", "Shree Ganesh Electronics Private Limited", "12 MG Road Bengaluru 560037", "India"),
-    ("S2-002", "Krishna Electronics", "45 Church Street, Mysuru", "India"),
-    ("S2-003", "Shree Ganesh Electronics", "12 Mahatma Gandhi Road, Bangalore", "India"),
-    ("S2-004", "Shree Ganesh Electronics", "Bengaluru 560037", "India"),
+    ("S2-001", "Quellbach Orgel Werkstatt Private Limited", "31 HK Road Lindenau 481025", "Utopia"),
+    ("S2-002", "Morgentau Werkstatt", "8 Harbour Street, Sundheim", "Utopia"),
+    ("S2-003", "Quellbach Orgel Werkstatt", "31 Hans Krug Road, Lindenow", "Utopia"),
+    ("S2-004", "Quellbach Orgel Werkstatt", "Lindenau 481025", "Utopia"),
 ]
-S3 = [("S3-001", "shree ganesh electronics", "MG Road", "india"), ("S3-002", "Other Traders", "9 Brigade Road, Bengaluru", "India")]
+S3 = [("S3-001", "quellbach orgel werkstatt", "HK Road", "utopia"), ("S3-002", "Zimmer Traders", "5 Anger Road, Lindenau", "Utopia")]
 
 
 def entities(spark, rows, source=None):
@@ -66,8 +66,8 @@ def test_cap_is_inclusive(spark, n, kept):
 
 
 def test_overlap_counts_repeats(spark):
-    s1 = entities(spark, [("a", "q", "delhi delhi", "x"), ("b", "q", "mumbai", "x")])
-    others = entities(spark, [("c", "r", "delhi delhi", "x"), ("d", "r", "mumbai", "x")], "S2")
+    s1 = entities(spark, [("a", "q", "lindow lindow", "x"), ("b", "q", "sundby", "x")])
+    others = entities(spark, [("c", "r", "lindow lindow", "x"), ("d", "r", "sundby", "x")], "S2")
     q, p = keys(signature(s1, FIRST), ["address_token"]), keys(signature(others, FIRST, ("source",)), ["address_token"], carry=("source",))
     assert [tuple(r) for r in B.overlap_join(q, p, {"address_token": 1000}).collect()] == [("S2", "a", "c")]
 
@@ -110,7 +110,7 @@ def test_profiles(spark):
     row = L.single_profile(s1, others).where("source = 'S2' AND family = 'exact_name'")
     assert row.count() == 0  # no block of that family: left out
     top = P.worst_blocks(sizes, 1).where("source = 'S2' AND family = 'name_token'").first()
-    assert (top.k1, top.n, top["rank"]) == ("electronics", 4, 1)
+    assert (top.k1, top.n, top["rank"]) == ("werkstatt", 4, 1)
     over = P.overflow(sizes, F.lit(3)).where("source = 'S2' AND family = 'name_token'").first()
     assert (over["keys"], over.usable, over.overflowed) == (3, 2, 1)
 
@@ -131,5 +131,37 @@ def test_empty_tables(spark):
 
 def test_lists_keep_repeats(spark):
     df = entities(spark, [("a", "acme acme", "", "x")])
-    assert keys(signature(df, LISTS), ["name_token"]).count() == 2
-    assert keys(signature(df, SETS), ["name_token"]).count() == 1
+    assert [(r.k1, r.m) for r in keys(signature(df, LISTS), ["name_token"]).collect()] == [("acme", 2)]
+    assert [(r.k1, r.m) for r in keys(signature(df, SETS), ["name_token"]).collect()] == [("acme", 1)]
+
+
+def test_hot_block_never_meets(spark):
+    """Repeats count, a block over its cap is left out of blocks and stays in overlaps with a higher cap."""
+    s1 = entities(spark, [("a", "q", "lindow sundby", "x")])
+    others = entities(spark, [(f"b{i}", "r", "lindow lindow" if i < 4 else "lindow sundby", "x") for i in range(6)], "S2")
+    q, p = keys(signature(s1, FIRST), ["address_token"]), keys(signature(others, FIRST, ("source",)), ["address_token"], carry=("source",))
+    assert {r.k1: r.n for r in B.sizes_of(p).collect()} == {"lindow": 10, "sundby": 2}
+    assert found(B.block_join(q, p, {"address_token": 9})) == ["b4", "b5"]
+    assert found(B.block_or_overlap(q, p, {"address_token": 9}, {"address_token": 10})) == [f"b{i}" for i in range(6)]
+    assert found(B.block_or_overlap(q, p, {"address_token": 1}, {"address_token": 9})) == []
+
+
+def test_cross_keys_of_whole_texts_equal_brute_force(spark):
+    from kinblock.functions import tokens as K
+
+    names, codes = [f"word{i}" for i in range(300)], [str(10000 + i) for i in range(9)]
+    rows = spark.createDataFrame([(names, codes), ([], codes), (["a"], [])], "n array<string>, c array<string>")
+    got = [[tuple(p) for p in r[0]] for r in rows.select(K.cross(F.col("n"), F.col("c"))).collect()]
+    assert got == [[(a, b) for a in names for b in codes], [], []]
+
+
+def test_plain_letters_join_accented_ones(spark):
+    from kinblock.functions import text as T
+    from kinblock.operators.keys import Style
+
+    style = Style(to_ascii=T.ascii_fold)
+    s1, others = entities(spark, [("a", "Café Ñandú", "", "x")]), entities(spark, [("b", "Cafe Nandu", "", "x")], "S2")
+    q, p = keys(signature(s1, style), ["translit_name"]), keys(signature(others, style, ("source",)), ["translit_name"], carry=("source",))
+    assert found(B.block_join(q, p, {})) == ["b"]
+    q, p = keys(signature(s1), ["translit_name"]), keys(signature(others, SETS, ("source",)), ["translit_name"], carry=("source",))
+    assert found(B.block_join(q, p, {})) == []

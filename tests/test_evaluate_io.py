@@ -36,11 +36,24 @@ def test_truth_loader(spark):
     assert E.truth_pairs(tsv.load_truth(raw, "at")).count() == 2
 
 
+def test_truth_of_several_files_is_read_by_name(spark, tmp_path):
+    head = "source1_entity_id\tmatched_entity_ids\n"
+    (tmp_path / "1.tsv").write_text(head + "s\told\n" + "".join(f"f{i}\tx\n" for i in range(5000)))
+    (tmp_path / "2.tsv").write_text(head + "s\tfirst\ns\tlast\n")
+    for path in (tmp_path / "2.tsv", tmp_path):
+        rows = tsv.load_truth(tsv.read_tsv(spark, str(path), tsv.TRUTH))
+        assert rows.where("s1 = 's'").first().targets == ["last"]
+
+
 def test_tsv_round_trip(spark, tmp_path):
     path = tmp_path / "in.tsv"
     path.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\n1\t"say ""hi"""\t"two\nlines"\tNA\n2\tnull\t\t pad \n')
     rows = [tuple(r) for r in tsv.read_tsv(spark, str(path)).orderBy("entity_id").collect()]
     assert rows == [("1", 'say "hi"', "two\nlines", "NA"), ("2", "null", "", " pad ")]
+    assert tsv.has_line_breaks(spark, str(path))
+    plain = tmp_path / "plain.tsv"
+    plain.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\n1\t"say ""hi"""\tx\tNA\n')
+    assert not tsv.has_line_breaks(spark, str(plain)) and tsv.read_tsv(spark, str(plain)).first().business_name == 'say "hi"'
     out = str(tmp_path / "out")
     tsv.write_tsv(tsv.read_tsv(spark, str(path)).select("entity_id", "country"), out)
     assert spark.read.csv(out, sep="\t", header=True).count() == 2

@@ -17,45 +17,45 @@ def test_basic_goldens(spark):
     got = apply(
         spark,
         T.basic,
-        ["Shree Ganesh Electronics Pvt. Ltd.", "ABC & Sons Corporation", "सुप्रीम आईटी प्राइवेट लिमिटेड", "12, M.G. Road, Bengaluru 560037", "A_b & C-d", None, "", " \t x　", "Café"],
+        ["Quellbach Orgel Werkstatt Pvt. Ltd.", "Tau & Daughters Corporation", "नीली झील किताब घर", "31, H.K. Road, Lindenau 481025", "A_b & C-d", None, "", " \t x　", "Café"],
     )
     assert got == [
-        "shree ganesh electronics pvt ltd", "abc and sons corporation", "सुप्रीम आईटी प्राइवेट लिमिटेड", "12 m g road bengaluru 560037",
+        "quellbach orgel werkstatt pvt ltd", "tau and daughters corporation", "नीली झील किताब घर", "31 h k road lindenau 481025",
         "a b and c d", "", "", "x", "café",
     ]
 
 
 def test_suffix_goldens(spark):
     strip = lambda c: T.strip_suffix(T.basic(c))
-    assert apply(spark, strip, ["Limited", "acme l l c", "ABC & Sons Corporation", "a co pvt ltd", "cod"]) == ["", "acme", "abc and sons", "a", "cod"]
+    assert apply(spark, strip, ["Limited", "acme l l c", "Tau & Daughters Corporation", "a co pvt ltd", "cod"]) == ["", "acme", "tau and daughters", "a", "cod"]
     ws = lambda c: T.strip_suffix_ws(T.word_series(c))
     assert apply(spark, ws, ["limited", "acme l l c", "acme ltd"]) == ["limited", "acme l l c", "acme"]
     domain = lambda c: T.domain_name(T.strip_suffix(T.basic(c)))
-    assert apply(spark, domain, ["Surjittechnologies.Com", "Surjit Technologies Pvt Ltd", "acme ltd com"]) == ["surjittechnologies", "surjittechnologies", "acmeltd"]
+    assert apply(spark, domain, ["Weidenkorbwaren.Com", "Weiden Korbwaren Pvt Ltd", "acme ltd com"]) == ["weidenkorbwaren", "weidenkorbwaren", "acmeltd"]
 
 
 def test_three_normal_forms_differ(spark):
-    assert apply(spark, T.word, ["A_b & C-d", "श्री गणेश"]) == ["a_b and c d", "श र गण श"]
-    assert apply(spark, T.basic, ["श्री गणेश"]) == ["श्री गणेश"]
+    assert apply(spark, T.word, ["A_b & C-d", "नीली झील"]) == ["a_b and c d", "न ल झ ल"]
+    assert apply(spark, T.basic, ["नीली झील"]) == ["नीली झील"]
     assert apply(spark, T.word_series, ["Café"]) == ["café"]
     assert apply(spark, T.word, ["Café x"]) == ["cafe x"]
 
 
 def test_numbers(spark):
     first = lambda c: K.first_number(T.numbers(c))
-    assert apply(spark, first, ["Plot 123456 Unit 7", "1234567", "none", None]) == ["7", "1234567", "", ""]
-    assert apply(spark, lambda c: K.postal_codes(T.numbers(c)), ["12345 560037 560037"]) == [["12345", "560037", "560037"]]
+    assert apply(spark, first, ["Lot 654321 Bay 7", "1234567", "none", None]) == ["7", "1234567", "", ""]
+    assert apply(spark, lambda c: K.postal_codes(T.numbers(c)), ["12345 481025 481025"]) == [["12345", "481025", "481025"]]
     assert apply(spark, T.numbers, ["a१२b3"]) == [["१२", "3"]]
 
 
 def test_tokens_and_grams(spark):
-    assert apply(spark, lambda c: K.char_ngrams(c), ["chickasha", "ab", ""]) == [["chi", "hic", "ick", "cka", "kas", "ash", "sha"], [], []]
-    got = apply(spark, lambda c: K.pairs(K.as_set(F.split(c, " "))), ["fifth chickasha", "one"])
-    assert [[tuple(p) for p in x] for x in got] == [[("chickasha", "fifth")], []]
+    assert apply(spark, lambda c: K.char_ngrams(c), ["lindenwat", "ab", ""]) == [["lin", "ind", "nde", "den", "enw", "nwa", "wat"], [], []]
+    got = apply(spark, lambda c: K.pairs(K.as_set(F.split(c, " "))), ["seventh lindenwat", "one"])
+    assert [[tuple(p) for p in x] for x in got] == [[("lindenwat", "seventh")], []]
     assert apply(spark, K.name_tokens, ["the acme mr of acme"]) == [["acme", "acme"]]
     assert apply(spark, lambda c: K.name_tokens(c, titles=False), ["mrs acme"]) == [["mrs", "acme"]]
-    assert apply(spark, K.address_tokens, ["main road delhi delhi new"]) == [["delhi", "delhi"]]
-    assert apply(spark, lambda c: K.address_tokens(c, more=True), ["india delhi"]) == [["delhi"]]
+    assert apply(spark, K.address_tokens, ["main road lindow lindow new"]) == [["lindow", "lindow"]]
+    assert apply(spark, lambda c: K.address_tokens(c, more=True), ["india lindow"]) == [["lindow"]]
 
 
 def test_transliterator_is_pluggable(spark):
