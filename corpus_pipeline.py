@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and reread as the next stage's docs.  All but the last
-return the columns of documents.
+return the columns of documents, whatever their names.
+
+Defined results, stage by stage: a null, empty or blank text goes with the
+quality rules; very long texts are read whole everywhere; ties are those of
+the operators (smallest doc_id, then fingerprint, stays); of repeated rows one
+stays, but rows with a null id all stay; an empty table passes as it is; the pieces at the end
+carry the doc_id of their document.
 """
 
 from __future__ import annotations
@@ -19,12 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language cannot be told (no letter)."""
+    """Drops the documents without a letter, and those whose language is told with a score below
+    ``langid.MIN_SCORE``; without labels to learn from, only the former."""
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies."""
+    """Keeps the document with the smallest id of each class of near copies: those whose sets of
+    shingles have a cosine similarity of ``simhash.SIMILARITY`` or more, by fingerprints."""
     return simhash.one_of_each(docs)
 
 
