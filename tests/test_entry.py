@@ -16,6 +16,16 @@ def test_every_engine_query_has_an_oracle():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_works_without_the_optional_folders(tmp_path):
+    import shutil
+
+    root = os.path.dirname(entry.__file__)
+    copy = str(tmp_path / "copy")
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
+    code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 100 and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy)
+
+
 def test_library_does_not_import_llm():
     code = "import kinblock.queries, kinblock.oracle, kinblock.streaming.probe, sys; assert not any('llm' in m for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
@@ -27,7 +37,7 @@ def _rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["norm_basic", "token_pairs", "block_name_token_cap5", "overlap_ngrams", "cand_v3", "cand_v4", "cand_hybrid", "hybrid_sweep", "profile_single", "positive_coverage", "evaluation"])
+@pytest.mark.parametrize("name", ["norm_basic", "token_pairs", "block_name_token_small_cap", "block_translit_name_ascii", "pair_table", "tsv_cand_v4", "profile_file", "overlap_ngrams", "cand_v3", "cand_v4", "cand_hybrid", "hybrid_sweep", "profile_single", "positive_coverage", "evaluation"])
 def test_against_oracle(spark, name):
     import duckdb
 
