@@ -105,6 +105,19 @@ def test_long_texts_are_cut_without_effect(monkeypatch):
     assert [i for _, x, _ in enc.texts([b"x" * 5000]) for i in x.tolist()] == library()("x" * 5000)
 
 
+def test_texts_above_a_slice():
+    rng = np.random.default_rng(2)
+    pool = np.array(["the", "it's", "Größe", "漢字", "1234", "x_y", "\n\n", "  two", "don't", "<|endoftext|>", "zq" * 40])
+    text = " ".join(pool[rng.integers(0, len(pool), 400_000)])
+    assert len(text.encode()) > tokens.SLICE
+    pieces = [b"short", text.encode(), b"", b"end"]
+    got = [x for _, ids, n in tokens.library_encoder("byte_bpe_50k.json").texts(pieces) for x in np.split(ids, np.cumsum(n)[:-1])]
+    encode = library()
+    assert all(np.array_equal(x, encode(t.decode())) for x, t in zip(got, pieces)) and len(got) == 4
+    own = [x for _, ids, n in bpe.load(bpe.MODEL).encoder.texts(pieces) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert all(np.array_equal(x, tiktoken_cached().encode_ordinary(t.decode())) for x, t in zip(own, pieces))
+
+
 def test_perfect_hash_is_minimal():
     keys = [b"%d" % (i * i) for i in range(500)]
     h = bpe.PerfectHash(keys)
