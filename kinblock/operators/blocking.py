@@ -110,10 +110,11 @@ def probes(queries: DataFrame, posts: DataFrame, strong: dict[str, int], budget:
     sizes = once.groupBy(*BLOCK).agg(F.sum("m").alias("n"), F.count("*").alias("df"))
     q = queries.select(F.col("entity_id").alias("s1"), *KEY).distinct()
     w = Window.partitionBy("s1", "source", "family").orderBy("df", "k1", "k2")
-    kept = F.coalesce(F.col("n") <= cap_of(strong), F.lit(False))
-    rows = q.join(sizes, KEY).withColumn("strong", kept).where(F.col("strong") | F.col("family").isin(list(budget)) & (F.col("df") <= most))
-    ranked = rows.withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("strong") | (F.col("rank") <= cap_of(budget))).select("source", "s1", *KEY, "df", "strong")
+    own = ["source", "s1", *KEY, "df"]
+    rows = q.join(sizes, KEY)
+    capped_ = rows.where(F.col("n") <= cap_of(strong)).select(*own, F.lit(True).alias("strong"))
+    ranked = rows.where(F.col("family").isin(list(budget)) & (F.col("df") <= most)).withColumn("rank", F.row_number().over(w))
+    return capped_.unionByName(ranked.where(F.col("rank") <= cap_of(budget)).select(*own, F.lit(False).alias("strong")))
 
 
 def selected_join(selected: DataFrame, posts: DataFrame) -> DataFrame:

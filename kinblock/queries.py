@@ -104,12 +104,19 @@ def _in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsv.from_rows(spark, [{"entity_id": str(r[0]), "business_name": r[1], "country": None} for r in rows])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all task slots if it comes in fewer partitions: a small file is one task, and so
+    would be all that follows up to the next exchange, where rows become many keys each."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ENTITY_SQL.format(part="{parts}"), parts=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return spread(spark.sql(ENTITY_SQL.format(part="{parts}"), parts=spark.read.parquet(f"{sf_dir}/part.parquet")))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TEXT_SQL.format(documents="{docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spread(spark.sql(TEXT_SQL.format(documents="{docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
