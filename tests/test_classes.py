@@ -95,6 +95,12 @@ def test_sweeps_read_truth_lists(spark, name, monkeypatch):
     assert Q.queries()[name](spark, "/root/testdata/sf0.001").columns[0] == "threshold"
 
 
+@pytest.mark.parametrize("name", ["eval_v3"])
+def test_evaluations_read_truth_lists(spark, name, monkeypatch):
+    monkeypatch.setattr(Q, "truth", None)
+    assert "recall" in Q.queries()[name](spark, "/root/testdata/sf0.001").columns
+
+
 def test_truth_lists(spark):
     raw = spark.createDataFrame([("s", "old", 1), ("s", " a , ,b,a", 2), ("e", "", 3), ("n", None, 4), ("t", " a , ,b,a", 1)], "source1_entity_id string, matched_entity_ids string, at int")
     members, lists = tsv.load_truth_lists(raw, "at")
