@@ -95,7 +95,7 @@ def test_sweeps_read_truth_lists(spark, name, monkeypatch):
     assert Q.queries()[name](spark, "/root/testdata/sf0.001").columns[0] == "threshold"
 
 
-@pytest.mark.parametrize("name", ["eval_v3", "eval_adaptive", "eval_selective"])
+@pytest.mark.parametrize("name", ["eval_v3", "eval_adaptive", "eval_selective", "eval_real_scale"])
 def test_evaluations_read_truth_lists(spark, name, monkeypatch):
     monkeypatch.setattr(Q, "truth", None)
     assert "recall" in Q.queries()[name](spark, "/root/testdata/sf0.001").columns
