@@ -7,6 +7,8 @@ from kinblock import queries as Q
 from kinblock.operators import blocking as B
 from kinblock.operators import classes as C
 from kinblock.operators import evaluate as E
+from kinblock.operators import profile as P
+from kinblock.operators.keys import WORDS, signature
 from kinblock.plans import pipelines as L
 from kinblock.sources import tsv
 
@@ -70,6 +72,17 @@ def test_sweep(spark, tables):
         assert got[t] == tuple(E.evaluation(truth, B.all_sources(L.hybrid(s1, others, truth, max_df=t))).first())
 
 
+def test_coverage(spark, tables, monkeypatch):
+    s1, others, truth = tables
+    by_row = P.positive_coverage(E.truth_pairs(truth), signature(s1, WORDS), signature(others, WORDS), L.COMPOSITE_PROFILE)
+    tested = []
+    whole = P.positive_coverage
+    monkeypatch.setattr(P, "positive_coverage", lambda pairs, *a: tested.append(pairs) or whole(pairs, *a))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(L.coverage(truth, s1, others)) == key(by_row)
+    assert tested[0].count() < by_row.count()
+
+
 def test_copies_are_paired_once(spark):
     """60 copies on both sides: one pair of classes, not 3,600 pairs."""
     one = spark.range(60).select(F.col("id").cast("string").alias("entity_id"), F.lit("Quell Orgel").alias("business_name"), F.lit("3, Linden").alias("business_address"), F.lit("x").alias("country"))
