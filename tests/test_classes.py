@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinblock import queries as Q
+from kinblock.functions.text import strip
 from kinblock.operators import blocking as B
 from kinblock.operators import classes as C
 from kinblock.operators import evaluate as E
@@ -22,8 +23,9 @@ def tables(spark):
     texts = [(f"{a} {b} Ltd", f"{n}, {c} Weg {10000 + n}", "x") for a in ("Quell", "Morgen") for b in ("Orgel", "Traders") for c in ("Linden", "Sund") for n in (3, 4)]
     texts += [(None, "", None), ("", None, ""), ("Quell", "Quell Quell", "x")]
     s1 = [(f"a{rng.randrange(30)} ", *rng.choice(texts)) for _ in range(36)] + [(f"b{k}", *rng.choice(texts)) for k in range(3)]
-    others = [(f"b{rng.randrange(45)}", *rng.choice(texts), rng.choice(["S2", "S3"])) for _ in range(60)] + [("a1", *texts[0], "S2")]
-    truth = [(f"a{k}", rng.choice([[], ["b1", "b2", "gone"], ["b3"], [f"b{j}" for j in range(20)], ["a1"]])) for k in range(25)] + [("b1", ["b1", "b2"]), ("none", ["b1"])]
+    others = [(f"b{rng.randrange(45)}", *rng.choice(texts), rng.choice(["S2", "S3"])) for _ in range(60)] + [("a1", *texts[0], "S2"), (None, *texts[0], "S2"), (" ", *texts[5], "S3")]
+    s1 += [(None, *texts[0]), ("", *texts[1])]
+    truth = [(f"a{k}", rng.choice([[], ["b1", "b2", "gone"], ["b3"], [f"b{j}" for j in range(20)], ["a1"]])) for k in range(25)] + [("b1", ["b1", "b2"]), ("none", ["b1"]), ("", ["b1", "b4"])]
     return (
         spark.createDataFrame(s1, RECORD).cache(),
         spark.createDataFrame(others, f"{RECORD}, source string").cache(),
@@ -35,7 +37,7 @@ def _by_rows(name, s1, others, truth):
     pairs = B.all_sources(L.GENERATORS[name](s1, others, truth))
     if name not in L.OVER_ROWS:
         return E.evaluation(truth, pairs)
-    rows = s1.select(F.trim("entity_id").alias("s1")).distinct()
+    rows = s1.select(strip(F.col("entity_id")).alias("s1")).distinct()
     return E.evaluation(truth.join(rows, "s1", "left_semi"), pairs, rows)
 
 
