@@ -95,7 +95,7 @@ def test_copies_are_paired_once(spark):
     assert tuple(C.evaluation(pairs, truth, left, right).first()) == (120, 120, 1.0, 60.0, 60.0, 60.0, 60)
 
 
-@pytest.mark.parametrize("name", ["evaluation", "f05_per_entity", "recall"])
+@pytest.mark.parametrize("name", ["evaluation", "f05_per_entity", "recall", "macro_f05"])
 def test_queries_read_classes(spark, name, monkeypatch):
     """The query's pairs are those of classes: the generator sees one record of each."""
     seen = []
