@@ -349,7 +349,8 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     partition and replaces the links of the partition by a forest of theirs, so
     rows never get more and ends of links only fall.  When nothing changes, every node
     has one link, to its parent in a tree; then parents are replaced by their
-    own parents until all are roots.
+    own parents until all are roots.  Where the links are one partition, its forest
+    has the roots already, and there are no rounds.
     """
 
     def reduced(links: DataFrame) -> DataFrame:
@@ -360,7 +361,10 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     def digest(links: DataFrame) -> tuple:
         return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    rooted = lambda links: links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
     now = reduced(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if rows is not None and files(rows) == 1:
+        return rooted(now)
     seen = digest(now)
     while seen[0]:
         now = reduced(now)
@@ -373,13 +377,14 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
             break
         above = sized(staged(above, "above", rows))
         now = staged(now.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b")), "links", rows)
-    rooted = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return rooted.union(now.select("b", "b").distinct())
+    return rooted(now)
 
 
-def _classed(prints: DataFrame, keys: Column | None = None, words: tuple[str, ...] = ("fp",), radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fp, and of each row's class the smallest row as ``component_id`` and ``component_fp``."""
-    total = prints.count()
+def _classed(
+    prints: DataFrame, keys: Column | None = None, words: tuple[str, ...] = ("fp",), radius: int = RADIUS, tile: int = TILE, total: int | None = None
+) -> DataFrame:
+    """doc_id, fp, and of each row's class the smallest row as ``component_id`` and ``component_fp``; ``total``: the rows, if they are counted."""
+    total = prints.count() if total is None else total
     more = [F.min(F.struct(*words[1:], "ks")).alias("more")] if len(words) > 1 else []
     # a null id counts as the largest: classes are named by (is null, id, fingerprint)
     name = F.struct(F.col("least").isNull().alias("z"), "least", "fp").alias("name")
@@ -407,8 +412,8 @@ def wide_classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
     return _wide_classed(staged(wide_fingerprints(docs), "fingerprints"), tile)
 
 
-def _wide_classed(prints: DataFrame, tile: int = TILE) -> DataFrame:
-    return _classed(prints, F.col("ks"), ("fp", "fp1"), WIDE_RADIUS, tile)
+def _wide_classed(prints: DataFrame, tile: int = TILE, total: int | None = None) -> DataFrame:
+    return _classed(prints, F.col("ks"), ("fp", "fp1"), WIDE_RADIUS, tile, total)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -420,9 +425,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     to a checked number, so that texts need not move.
     """
     prints = staged(wide_fingerprints(docs), "fingerprints")
-    copies = _wide_classed(prints).where("doc_id IS NOT NULL AND (doc_id <> component_id OR fp <> component_fp)")
+    total = prints.count()
+    copies = _wide_classed(prints, total=total).where("doc_id IS NOT NULL AND (doc_id <> component_id OR fp <> component_fp)")
     if prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = sized(staged(copies.select("doc_id"), "copies", prints.count()))
+        gone = sized(staged(copies.select("doc_id"), "copies", total))
         return docs if gone is None else docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # repeated ids: a row is told by its id and fingerprint
     at = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")

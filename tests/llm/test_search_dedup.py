@@ -151,6 +151,19 @@ def test_components_equal_union_find(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_of_one_partition_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(13)
+    order = rng.sample(range(400), 400)
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(390) if i % 13], "a long, b long").repartition(7)
+    want = sorted(map(tuple, simhash.components(edges).collect()))
+    written, write = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, label, *a: written.append(label) or write(df, label, *a))
+    assert sorted(map(tuple, simhash.components(edges, 400).collect())) == want and len({r for _, r in want}) == 30
+    assert written == ["links"]  # each round is jobs, tasks and files that the driver keeps account of
+    monkeypatch.setattr(simhash, "files", lambda rows: 3)
+    assert sorted(map(tuple, simhash.components(edges, 400).collect())) == want and len(written) > 2
+
+
 def test_large_and_small_tiles_agree():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
