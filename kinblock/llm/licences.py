@@ -4,7 +4,7 @@ Every template is a licence text, notice or opening sentence with its label
 and the key phrases that must be present.  The index lists, for each rare word
 of a template, its places there.  One pass over the corpus counts in how many
 documents each licence word occurs (at most as many numbers as there are
-licence words); the second pass looks up, per file that may hold a key phrase,
+licence words) and the bytes of text; the second pass looks up, per file that may hold a key phrase,
 all its indexed words, meets the template postings at the same relative
 position, and sums the weights along each alignment.  Of the alignments that
 reach THRESHOLD of the template's weight and hold all its key phrases in their
@@ -39,6 +39,8 @@ WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 THRESHOLD = 0.6
 #: Rare words of a template that are indexed.
 PER_TEMPLATE = 8
+#: Bytes of text that a task of the scan reads at least, if the input comes in smaller parts.
+TASK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -91,13 +93,14 @@ def vocabulary(templates: list[Template]) -> list[str]:
     return sorted({w for t in templates for x in (t.text, *t.keys) for w in x.split()})
 
 
-def frequencies(docs: DataFrame, templates: list[Template]) -> tuple[int, dict[str, int]]:
-    """Documents of ``docs``, and those that hold each licence word."""
+def frequencies(docs: DataFrame, templates: list[Template]) -> tuple[int, dict[str, int], int]:
+    """Documents of ``docs``, those that hold each licence word, and the bytes of all texts."""
     vocab = F.array(*[F.lit(w) for w in vocabulary(templates)])
-    held = docs.select(F.array_intersect(vocab, words_of(F.col("text"))).alias("w"))
-    one = held.select(F.explode(F.array_append("w", F.lit(""))).alias("w")).groupBy("w").count().collect()  # one row a licence word
+    held = docs.select(F.array_intersect(vocab, words_of(F.col("text"))).alias("w"), F.octet_length("text").cast("long").alias("n"))
+    every = held.select(F.explode(F.array_append("w", F.lit(""))).alias("w"), "n")
+    one = every.groupBy("w").agg(F.count("*"), F.sum("n")).collect()  # one row a licence word
     found = {r[0]: r[1] for r in one}
-    return found.pop("", 0), found
+    return found.pop("", 0), found, next((r[2] for r in one if r[0] == ""), None) or 0
 
 
 class Index:
@@ -183,11 +186,14 @@ def _accepted(index: Index, t: int) -> Column:
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, occurrences of the base phrases, labels and score."""
     docs = docs.select("doc_id", "text")
-    index = Index(templates, *frequencies(docs, templates))
+    n_docs, df, size = frequencies(docs, templates)
+    index = Index(templates, n_docs, df)
     anchors = sorted(set(index.anchor))
     indexed = [w for w in index.by_idf if w in index.postings]
     base = {index.phrases.index(tuple(p.split())): label for p, label in BASE.items()}
-    words = docs.select("doc_id", words_of(F.col("text")).alias("__w"))
+    # small parts of the input are read together: each task writes a file of its own, and starts helper processes for it
+    whole = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    words = whole.select("doc_id", words_of(F.col("text")).alias("__w"))
     hinted = F.exists("__w", lambda w: w.isin(anchors))
     looked = words.select("doc_id", "__w", F.size("__w").cast("long").alias("n_words"), hinted.alias("__k"))
     placed = looked.select(

@@ -113,3 +113,17 @@ def test_long_text_and_only_ascii_is_lowered(spark):
 
 def test_empty_table(spark):
     assert L.op1(documents(spark, [])).count() == 0
+
+
+def test_small_parts_are_scanned_together(spark, monkeypatch):
+    rows = [(k, f"text {k} under the MIT License") for k in range(200)] + [(None, None), (7, "")]
+    parts = documents(spark, rows).repartition(60)
+    few = L.op1(parts)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(L, "TASK_BYTES", 256)
+    size = sum(len(t or "") for _, t in rows)
+    many = L.op1(parts)
+    assert many.rdd.getNumPartitions() == -(-size // 256) < 60
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() == len(rows)
+    monkeypatch.setattr(L, "TASK_BYTES", 1)
+    assert L.op1(parts).rdd.getNumPartitions() == 60  # large parts stay as they are
