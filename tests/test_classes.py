@@ -121,3 +121,24 @@ def test_truth_lists(spark):
     members, lists = tsv.load_truth_lists(raw, "at")
     of = {r.list: r.targets for r in lists.collect()}
     assert {r.s1: of[r.list] for r in members.collect()} == {r.s1: r.targets for r in tsv.load_truth(raw, "at").collect()} and len(of) == 3
+
+
+def test_uncapped_pairs_are_those_of_rows(spark, tables, monkeypatch):
+    s1, others, _ = tables
+    plain = B.join_keys(*L._keys(s1, others, L.SERIES, L.REAL_SCALE))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = key(plain)
+    assert {"", "b1"} <= {r[1] for r in want} and {"", "a1"} <= {r[2] for r in want}  # null ids are empty ones
+    for most in (256, 1):
+        monkeypatch.setattr(C, "TOGETHER", most)
+        assert key(L.real_scale(s1, others)) == want
+
+
+def test_uncapped_pairs_meet_as_classes(spark, monkeypatch):
+    """60 copies on both sides: 3,600 pairs are returned, one is made distinct."""
+    one = spark.range(60).select(F.col("id").cast("string").alias("entity_id"), F.lit("Quell Orgel").alias("business_name"), F.lit("3, Linden").alias("business_address"), F.lit("x").alias("country"))
+    met, join = [], B.block_join
+    monkeypatch.setattr(B, "block_join", lambda *a: met.append(join(*a)) or met[-1])
+    pairs = L.real_scale(one, one.withColumn("source", F.lit("S2")))
+    assert pairs.columns == B.PAIR and pairs.count() == pairs.distinct().count() == 3600
+    assert [df.count() for df in met] == [1]
