@@ -142,3 +142,21 @@ def test_uncapped_pairs_meet_as_classes(spark, monkeypatch):
     pairs = L.real_scale(one, one.withColumn("source", F.lit("S2")))
     assert pairs.columns == B.PAIR and pairs.count() == pairs.distinct().count() == 3600
     assert [df.count() for df in met] == [1]
+
+
+def test_uncapped_pairs_meet_in_no_exchange(spark, tables, monkeypatch):
+    """Pairs are told apart by the keys that two records share, not by bringing equal ones together."""
+    met, join = [], B.block_join
+    monkeypatch.setattr(B, "block_join", lambda *a: met.append(join(*a)) or met[-1])
+    L.real_scale(*tables[:2])
+    (plan,) = [df._jdf.queryExecution().executedPlan().toString() for df in met]
+    above = plan[: plan.index("Join")]
+    assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_long_addresses_are_paired_once(spark):
+    """Records with more keys than are held against each other, beside one with few of them."""
+    codes = " ".join(str(10000 + k) for k in range(200))
+    s1 = spark.createDataFrame([("a", "Quell", codes, "x"), ("b", "Morgen", "10003 10005", "x")], RECORD)
+    others = spark.createDataFrame([("c", "Quell", codes, "x", "S2"), ("d", "Orgel", "10005 10003", "x", "S3"), ("e", "Orgel", "10003", "y", "S3")], f"{RECORD}, source string")
+    assert sorted(map(tuple, L.real_scale(s1, others).collect())) == [("S2", "a", "c"), ("S2", "b", "c"), ("S3", "a", "d"), ("S3", "b", "d")]
