@@ -160,3 +160,12 @@ def test_long_addresses_are_paired_once(spark):
     s1 = spark.createDataFrame([("a", "Quell", codes, "x"), ("b", "Morgen", "10003 10005", "x")], RECORD)
     others = spark.createDataFrame([("c", "Quell", codes, "x", "S2"), ("d", "Orgel", "10005 10003", "x", "S3"), ("e", "Orgel", "10003", "y", "S3")], f"{RECORD}, source string")
     assert sorted(map(tuple, L.real_scale(s1, others).collect())) == [("S2", "a", "c"), ("S2", "b", "c"), ("S3", "a", "d"), ("S3", "b", "d")]
+
+
+def test_uncapped_pairs_are_counted_where_they_are_made(spark, tables, monkeypatch):
+    """The evaluation makes no pairs distinct."""
+    met, join = [], B.block_join
+    monkeypatch.setattr(B, "block_join", lambda *a: met.append(join(*a)) or met[-1])
+    assert L.evaluate("real_scale", *tables).collect() == _by_rows("real_scale", *tables).collect()
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
