@@ -169,3 +169,19 @@ def test_uncapped_pairs_are_counted_where_they_are_made(spark, tables, monkeypat
     assert L.evaluate("real_scale", *tables).collect() == _by_rows("real_scale", *tables).collect()
     plan = met[0]._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_coverage_of_single_records_makes_no_keys(spark, monkeypatch):
+    """Each id has one record: what two of them share is told from tokens and numbers."""
+    rng = random.Random(7)
+    words = ["Quell", "Morgen", "Orgel", "Sund", "ab", ""]
+    row = lambda: (" ".join(rng.choices(words, k=rng.randrange(4))) or None, f"{rng.choice(['', 3, 10003, '10003 10005', '10005 123456'])} {' '.join(rng.choices(['Linden', 'Allee', 'Markt', 'weg'], k=rng.randrange(4)))}", rng.choice(["x", "y", None]))
+    s1 = spark.createDataFrame([(f"a{k}", *row()) for k in range(40)], RECORD)
+    others = spark.createDataFrame([(f"b{k}", *row(), rng.choice(["S2", "S3"])) for k in range(60)], f"{RECORD}, source string")
+    truth = spark.createDataFrame([(f"a{k}", [f"b{j}" for j in range(k % 2, 60, 2)] + ["gone"]) for k in range(41)], "s1 string, targets array<string>")
+    want = P.positive_coverage(E.truth_pairs(truth), signature(s1, WORDS), signature(others, WORDS), L.COMPOSITE_PROFILE).collect()
+    asked, whole = [], P.positive_coverage
+    monkeypatch.setattr(P, "positive_coverage", lambda pairs, *a: asked.append(pairs) or whole(pairs, *a))
+    assert sorted(map(tuple, L.coverage(truth, s1, others).collect())) == sorted(map(tuple, want))
+    assert all({False, True} == {r[f] for r in want} for f in L.COMPOSITE_PROFILE)
+    assert [df.count() for df in asked] == [0]
